@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .langmix import op5_langmix
 from .media import op4_media
 from .packing import op8_packing
 from .token_store import op7_token_store
+from .toxicity import op3_toxicity
+from .url_rules import op2_url_rules
 
 QUERIES = {
+    "op2_url_rules": op2_url_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_media": op4_media,
+    "op5_langmix": op5_langmix,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
 }
