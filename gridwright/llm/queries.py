@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op10_jaccard_join
 from .langmix import op5_langmix
 from .media import op4_media
 from .packing import op8_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_langmix": op5_langmix,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
