@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .jaccard_join import op10_jaccard_join
 from .langmix import op5_langmix
+from .line_templates import ORACLE_SQL as OP6_SQL
+from .line_templates import op6_line_templates
 from .media import op4_media
 from .packing import op8_packing
 from .token_store import op7_token_store
@@ -15,9 +17,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_media": op4_media,
     "op5_langmix": op5_langmix,
+    "op6_line_templates": op6_line_templates,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_templates": OP6_SQL}
