@@ -8,6 +8,7 @@ from .line_templates import ORACLE_SQL as OP6_SQL
 from .line_templates import op6_line_templates
 from .media import op4_media
 from .packing import op8_packing
+from .suffix_dedup import op9_suffix_dedup
 from .token_store import op7_token_store
 from .toxicity import op3_toxicity
 from .url_rules import op2_url_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_line_templates": op6_line_templates,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
