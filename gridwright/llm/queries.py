@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .langmix import op5_langmix
 from .line_templates import ORACLE_SQL as OP6_SQL
@@ -14,6 +15,7 @@ from .toxicity import op3_toxicity
 from .url_rules import op2_url_rules
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_url_rules": op2_url_rules,
     "op3_toxicity": op3_toxicity,
     "op4_media": op4_media,
