@@ -151,12 +151,14 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class PieceEncoder:
     """Ids of the tokenizers library, with what it returned for each space-delimited piece kept.
 
-    The pre-tokenizer of a byte-level BPE starts a new token at every single space between two
-    visible characters, so such pieces encode alike alone and in a text. Texts with double spaces,
-    a final space or the marks of special tokens go to the library whole.
+    The pre-tokenizer of a byte-level BPE starts a new token at every single space or line break
+    between two visible characters, and between a letter and a final full stop or comma, so such
+    pieces encode alike alone and in a text. Texts with double spaces, a final space or the marks of
+    special tokens go to the library whole.
     """
 
-    KEEP = 400_000
+    #: Pieces kept in each of two generations; what the older one holds is kept if used again.
+    KEEP = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -164,12 +166,63 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends = {c: self._whole([c])[0] for c in ".,\n"}
+        self.line_break = int(np.frombuffer(self.ends["\n"], self.dtype)[0])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that open with a space and hold no other white space: one text, a piece a line."""
+        ids = np.array(self.library.encode("\n".join(words), add_special_tokens=False).ids, self.dtype)
+        at = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+        if len(at) != len(words) + 1:
+            return self._whole(words)
+        data, width = ids.tobytes(), self.dtype.itemsize
+        return [data[(a + 1) * width : b * width] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Fill `kept` for the pieces: known words with a stop, lines around a break, else the library."""
+        kept, older, ends = self.kept, self.older, self.ends
+        joined: list[tuple[str, list[str]]] = []
+        asked: set[str] = set()
+
+        def need(piece: str) -> None:
+            if piece not in kept:
+                if piece in older:
+                    kept[piece] = older[piece]
+                else:
+                    asked.add(piece)
+
+        for piece in pieces:
+            if piece in older:
+                kept[piece] = older[piece]
+                continue
+            parts = piece.split("\n")
+            if len(parts) > 1 and not all(p and not p[0].isspace() | p[-1].isspace() for p in (parts[0][1:] or parts[0].strip(), *parts[1:])):
+                asked.add(piece)
+                continue
+            made: list[str] = []
+            for i, part in enumerate(parts):
+                if i:
+                    made.append("\n")
+                if part[-1:] in (".", ",") and part[-2:-1].isalpha():
+                    need(part[:-1])
+                    made += [part[:-1], part[-1]]
+                else:
+                    need(part)
+                    made.append(part)
+            if len(made) > 1:
+                joined.append((piece, made))
+        words = [p for p in asked if p[:1] == " " and len(p) > 1 and len(p.split()) == 1 and p[1:] == p.split()[0]]
+        rest = list(asked.difference(words))
+        kept.update(zip(words, self._words(words) if words else [], strict=True))
+        kept.update(zip(rest, self._whole(rest), strict=True))
+        for piece, made in joined:
+            kept[piece] = b"".join(ends[x] if x in ends else kept[x] for x in made)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[bytes] = [b""] * len(texts)
         odd, cut = [], []
@@ -179,19 +232,22 @@ class PieceEncoder:
             if "  " in text or "<|" in text or text[-1] == " ":
                 odd.append(i)
             else:
-                head, *rest = text.split(" ")
-                cut.append((i, head, rest))
+                pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+                if pieces is None:
+                    odd.append(i)
+                else:
+                    cut.append((i, pieces))
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        if len(self.later) > self.KEEP:
-            self.first, self.later = {}, {}
-        later, first = self.later, self.first
-        missing = list({p for _, _, rest in cut for p in rest if p not in later})
-        later.update(zip(missing, self._whole([" " + p for p in missing]), strict=True))
-        missing = list({head for _, head, _ in cut if head not in first})
-        first.update(zip(missing, self._whole(missing), strict=True))
-        for i, head, rest in cut:
-            out[i] = first[head] + b"".join(map(later.__getitem__, rest))
+        if len(self.kept) > self.KEEP:
+            self.kept, self.older = {"": b""}, self.kept
+        kept = self.kept
+        kept[""] = b""
+        missing = {p for _, pieces in cut for p in pieces if p not in kept}
+        if missing:
+            self._learn(missing)
+        for i, pieces in cut:
+            out[i] = b"".join(map(kept.__getitem__, pieces))
         return [np.frombuffer(x, self.dtype) for x in out]
 
 
