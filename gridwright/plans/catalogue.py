@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import acquisition, assessment, features, surfaces
+
+QUERIES = surfaces.QUERIES | assessment.QUERIES | acquisition.QUERIES | features.QUERIES
+ORACLE_SQL = surfaces.ORACLE_SQL | assessment.ORACLE_SQL | acquisition.ORACLE_SQL | features.ORACLE_SQL
