@@ -203,7 +203,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group; empty texts all stay."""
-    kept = jaccard_components(docs, percent, words).filter("component_id = doc_id or component_id is null").select("doc_id").distinct()
+    kept = materialise(jaccard_components(docs, percent, words).filter("component_id = doc_id").select("doc_id").distinct(), "kept")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
     first = docs.join(kept, "doc_id", "left_semi")
     return first.unionByName(docs.filter("doc_id is null"))
 
