@@ -1,7 +1,7 @@
 """Least-cost routes over a grid with eight neighbours.
 
-``route_groups`` runs the exact search for every group (preset) in parallel; ``relax_distances``
-gives the same distances as joins and grouped minima for grids beyond one task.
+``route_groups`` runs the exact search for every group (preset) in parallel; ``tile_distances``
+gives the same distances tile by tile for grids beyond one task.
 """
 
 from __future__ import annotations
@@ -119,20 +119,92 @@ def edges_8n(cells: DataFrame) -> DataFrame:
     return straight.unionByName(diagonal).select("row", "col", "to_row", "to_col", ((F.col("cost") + F.col("to_cost")) / 2 * F.col("length")).alias("weight"))
 
 
-def relax_distances(cells: DataFrame, start: tuple[int, int], every: int = 8, at_most: int = 10_000) -> DataFrame:
-    """row, col, distance from start to each cell that can be reached.
-
-    Only cells whose distance fell in the last round are joined with the edges; the lineage is cut by
-    checkpoints in the folder that the cluster shares. Ends when no distance falls."""
-    edges = edges_8n(cells).checkpoint()
-    known = cells.filter((F.col("row") == start[0]) & (F.col("col") == start[1]) & (F.col("cost") < float("inf"))).select("row", "col", F.lit(0.0).alias("distance"), F.lit(True).alias("fell"))
-    for n in range(1, at_most + 1):
-        offers = known.filter("fell").join(edges, ["row", "col"]).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), (F.col("distance") + F.col("weight")).alias("offer")).groupBy("row", "col").agg(F.min("offer").alias("offer"))
-        both = known.join(offers, ["row", "col"], "full_outer")
-        fell = F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer") < F.col("distance")))
-        known = both.select("row", "col", F.when(fell, F.col("offer")).otherwise(F.col("distance")).alias("distance"), fell.alias("fell"))
-        if n % every == 0:
-            known = known.checkpoint()
-            if known.filter("fell").isEmpty():
-                break
-    return known.select("row", "col", "distance")
+def _relax(cost: np.ndarray, dist: np.ndarray, seeds: list[int]) -> set[int]:
+    """Lower dist from the seeds on, in place; both are flat with one blocked cell around. Returns what fell."""
+    width = int(math.isqrt(len(cost)))
+    c, d = cost.tolist(), dist.tolist()
+    moves = [(dr * width + dc, math.sqrt(2) if dr and dc else 1.0, dr * width if dr and dc else 0, dc if dr and dc else 0) for dr, dc in OFFSETS]
+    queue = [(d[s], s) for s in seeds]
+    heapq.heapify(queue)
+    fell, inf = set(seeds), math.inf
+    while queue:
+        g, at = heapq.heappop(queue)
+        if g > d[at]:
+            continue
+        for step, length, side, other in moves:
+            to = at + step
+            if c[to] == inf or (side and (c[at + side] == inf or c[at + other] == inf)):
+                continue
+            new = g + (c[at] + c[to]) / 2 * length
+            if new < d[to]:
+                d[to] = new
+                fell.add(to)
+                heapq.heappush(queue, (new, to))
+    dist[:] = d
+    return fell
+
+
+_AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+
+def _tiles_near(row, col, tile: int):
+    """The tiles that hold a cell or touch it."""
+    return F.array_distinct(F.array(*(F.struct(F.floor((row + a) / tile).cast("int").alias("tr"), F.floor((col + b) / tile).cast("int").alias("tc")) for a, b in _AROUND)))
+
+
+def tile_distances(cells: DataFrame, start: tuple[int, int], tile: int = 256, at_most: int = 100_000) -> DataFrame:
+    """row, col, distance from start to each cell of cells(row, col, cost) that can be reached.
+
+    The grid is cut into tiles that carry the cells around them. A round lowers the distances inside
+    each tile that got news, all tiles at once, and sends what fell at the borders to the neighbours;
+    rounds grow with the tiles along a route, not with its cells. A task holds one tile, rounds are
+    cut by checkpoints in the shared folder, and they end when no border falls."""
+    free = cells.filter(F.col("cost").isNotNull() & (F.col("cost") < float("inf"))).select("row", "col", "cost")
+    wide = tile + 4  # the tile, the cells around, and one blocked cell around these
+    place = lambda r, c: (r - F.col("tr") * tile + 2) * wide + c - F.col("tc") * tile + 2
+    spread = free.withColumn("t", F.explode(_tiles_near(F.col("row"), F.col("col"), tile))).select("t.*", "row", "col", "cost")
+    tiles = spread.groupBy("tr", "tc").agg(F.collect_list(F.struct(place(F.col("row"), F.col("col")).cast("int").alias("at"), "cost")).alias("cells")).withColumn("dist", F.lit(None).cast("array<double>"))
+    one = free.filter((F.col("row") == start[0]) & (F.col("col") == start[1])).select(F.lit(start[0] // tile).alias("tr"), F.lit(start[1] // tile).alias("tc"), "row", "col", F.lit(0.0).alias("d"))
+    news = one
+    kind = "tr int, tc int, cells array<struct<at:int,cost:double>>, dist array<double>, border array<struct<row:int,col:int,d:double>>"
+
+    def solve(frames):
+        for frame in frames:
+            dists, borders = [], []
+            for tr, tc, known, dist, got in zip(frame["tr"], frame["tc"], frame["cells"], frame["dist"], frame["news"], strict=True):
+                if got is None or not len(got):
+                    dists.append(dist)
+                    borders.append([])
+                    continue
+                cost = np.full(wide * wide, np.inf)
+                cost[[k["at"] for k in known]] = [k["cost"] for k in known]
+                now = np.full(wide * wide, np.inf) if dist is None else np.array(dist, float)
+                seeds = []
+                for k in got:
+                    at = (k["row"] - tr * tile + 2) * wide + k["col"] - tc * tile + 2
+                    if k["d"] < now[at]:
+                        now[at] = k["d"]
+                        seeds.append(at)
+                fell = _relax(cost, now, seeds)
+                edge = []
+                for at in fell:
+                    r, c = divmod(at, wide)
+                    if 2 <= r < wide - 2 and 2 <= c < wide - 2 and (r in (2, wide - 3) or c in (2, wide - 3)):
+                        edge.append({"row": tr * tile + r - 2, "col": tc * tile + c - 2, "d": now[at]})
+                dists.append(now)
+                borders.append(edge)
+            yield pd.DataFrame({"tr": frame["tr"], "tc": frame["tc"], "cells": frame["cells"], "dist": dists, "border": borders})
+
+    spark = cells.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    for _ in range(at_most):
+        sent = news.groupBy("tr", "tc").agg(F.collect_list(F.struct("row", "col", "d")).alias("news"))
+        tiles = tiles.join(sent, ["tr", "tc"], "left").mapInPandas(solve, kind).checkpoint()
+        news = (tiles.select(F.col("tr").alias("fr"), F.col("tc").alias("fc"), F.explode("border").alias("k")).select("fr", "fc", "k.*")
+            .withColumn("t", F.explode(_tiles_near(F.col("row"), F.col("col"), tile))).select("t.*", "row", "col", "d", "fr", "fc").filter("tr <> fr or tc <> fc"))
+        if news.isEmpty():
+            break
+    reached = tiles.filter("dist is not null").select("tr", "tc", F.posexplode("dist").alias("at", "distance")).filter(F.col("distance") < float("inf"))
+    r, c = F.floor(F.col("at") / wide).cast("int") - 2, (F.col("at") % wide).cast("int") - 2
+    inside = r.between(0, tile - 1) & c.between(0, tile - 1)
+    return reached.filter(inside).select((F.col("tr") * tile + r).alias("row"), (F.col("tc") * tile + c).alias("col"), "distance")

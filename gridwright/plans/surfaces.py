@@ -69,7 +69,7 @@ def least_cost_distance(spark, sf_dir):
     from ..sources.workspace import use_checkpoints
 
     use_checkpoints(spark)
-    return routing.relax_distances(b.surface(spark, sf_dir, ["balanced"]), b.START).withColumn("distance", F.round("distance", 6))
+    return routing.tile_distances(b.surface(spark, sf_dir, ["balanced"]), b.START).withColumn("distance", F.round("distance", 6))
 
 
 @R.query(f"{b.DISTANCES} SELECT 'balanced' AS preset, round(distance, 6) AS route_cost FROM dist WHERE row = {b.N - 1} AND col = {b.N - 1}")
