@@ -154,7 +154,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The columns of docs and SCHEMA's; columns of docs with those names are replaced."""
     made = [x.split()[0] for x in SCHEMA.split(", ")]
-    keep = [c for c in docs.columns if c not in made]
+    keep = [c for c in docs.columns if c.lower() not in made]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     send = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))  # BUCKETS floats a language
     shares_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
@@ -176,8 +176,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.5) -> DataFrame:
     """Documents of one main language, as they are; those without a language go."""
-    kept = identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("shares")[0]["share"] >= least_share))
-    return kept.select(*docs.columns)
+    made = [x.split()[0] for x in SCHEMA.split(", ")]
+    own = {c: f"_gw_own_{c}" for c in docs.columns if c.lower() in made}
+    kept = identify(docs.withColumnsRenamed(own), model).filter((F.col("lang_pred") != "und") & (F.col("shares")[0]["share"] >= least_share))
+    return kept.drop(*made).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def op5_langmix(spark: SparkSession, sf_dir: str) -> DataFrame:
