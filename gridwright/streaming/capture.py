@@ -1,0 +1,29 @@
+"""Pages that arrive as files: a resumable stream that keeps the first capture of every id."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+PAGE = "tile int, page int, id long, value double"
+
+
+def page_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
+    """PAGE rows of the JSON files in the folder, new files as they come."""
+    return spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_at_once).json(folder)
+
+
+def first_captures(pages: DataFrame) -> DataFrame:
+    """One row an id. State is a row for each id seen, as completeness is judged over all of them."""
+    return pages.dropDuplicates(["id"])
+
+
+def capture_available(pages: DataFrame, to: str, checkpoint: str) -> StreamingQuery:
+    """Take what is there and stop; the next call with the same checkpoint goes on where this one ended."""
+    return pages.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def complete(captured: DataFrame, expected: DataFrame) -> bool:
+    """Have all expected ids been captured? Publish only then."""
+    return expected.select("id").join(captured.select("id"), "id", "left_anti").isEmpty() and captured.select("id").filter(F.col("id").isNull()).isEmpty()
