@@ -87,7 +87,7 @@ def manifest_reconcile(spark, sf_dir):
     return checks.manifest_violations(m, a)
 
 
-@R.query("""SELECT l_orderkey, l_partkey, l_linenumber, q, sum(q) OVER w AS running, sum(q) OVER w > 60 AS over_cap FROM (SELECT l_orderkey, l_partkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS q FROM lineitem GROUP BY ALL)
+@R.query("""SELECT l_orderkey, l_partkey, l_linenumber, q, (sum(q) OVER w)::BIGINT AS running, sum(q) OVER w > 60 AS over_cap FROM (SELECT l_orderkey, l_partkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS q FROM lineitem GROUP BY ALL)
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey * 10 + l_linenumber ROWS UNBOUNDED PRECEDING)""")
 def running_bytes_cap(spark, sf_dir):
     x = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("q")).withColumn("k", F.col("l_partkey") * 10 + F.col("l_linenumber"))

@@ -158,7 +158,7 @@ def snap_offset(spark, sf_dir):
     return p.select("id", F.round(F.hypot(F.col("x") - cx, F.col("y") - cy), 3).alias("offset_m"))
 
 
-@R.query(f"WITH {b.ROUTES} SELECT preset, step, {WEST} + (col + 0.5) * 100 AS x, {NORTH} - (row + 0.5) * 100 AS y FROM routes")
+@R.query(f"WITH {b.ROUTES} SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM routes")
 def cell_centre(spark, sf_dir):
     x, y = grid.centre_of(F.col("row"), F.col("col"), WEST, NORTH, 100.0)
     return b.routes(spark).select("preset", "step", x.alias("x"), y.alias("y"))
@@ -235,7 +235,7 @@ def grid_explode(spark, sf_dir):
     return explode_grids(bundle).withColumn("value", F.round("value", 6))
 
 
-@R.query(f"SELECT tile::INT AS tile, round(150.82 + i * 0.25, 9) AS west, round(-33.15 + j * 0.25, 9) AS south, round(least(151.62, 150.82 + (i + 1) * 0.25), 9) AS east, round(least(-32.27, -33.15 + (j + 1) * 0.25), 9) AS north FROM (SELECT j * 4 + i AS tile, i, j FROM range(4) a(i), range(4) b(j))")
+@R.query(f"SELECT tile::INT AS tile, round(150.82 + i * 0.25, 9)::DOUBLE AS west, round(-33.15 + j * 0.25, 9)::DOUBLE AS south, round(least(151.62, 150.82 + (i + 1) * 0.25), 9)::DOUBLE AS east, round(least(-32.27, -33.15 + (j + 1) * 0.25), 9)::DOUBLE AS north FROM (SELECT j * 4 + i AS tile, i, j FROM range(4) a(i), range(4) b(j))")
 def tile_envelopes(spark, sf_dir):
     return grid.tile_envelopes(envelope(spark), 0.25).withColumns({c: F.round(c, 9) for c in ("west", "south", "east", "north")})
 
