@@ -44,18 +44,18 @@ def search(costs: np.ndarray, start: tuple[int, int], goal: tuple[int, int], alg
     inf, width = math.inf, cols + 2
     padded = np.full((rows + 2, width), inf)
     padded[1:-1, 1:-1] = costs
-    cost = padded.ravel().tolist()
-    moves = [(dr * width + dc, math.sqrt(2) if dr and dc else 1.0, dr * width if dr and dc else 0, dc if dr and dc else 0) for dr, dc in OFFSETS]
+    half = (padded / 2).ravel().tolist()  # halves add up to the mean without rounding
+    moves = [(dr * width + dc, math.sqrt(2) if dr and dc else 1.0, dr * width, dc, bool(dr and dc) and not np.isfinite(costs).all()) for dr, dc in OFFSETS]
     source, target = ((r + 1) * width + c + 1 for r, c in (start, goal))
     least = float(costs[np.isfinite(costs)].min()) if algorithm == "astar" else 0.0
     if least:
         away = np.hypot(np.arange(rows + 2)[:, None] - goal[0] - 1, np.arange(width)[None, :] - goal[1] - 1) * least
         ahead = away.ravel().tolist()
     else:
-        ahead = [0.0] * len(cost)
-    best = [inf] * len(cost)
-    came = [0] * len(cost)
-    done = bytearray(len(cost))
+        ahead = [0.0] * len(half)
+    best = [inf] * len(half)
+    came = [0] * len(half)
+    done = bytearray(len(half))
     best[source] = 0.0
     queue, found, settled = [(ahead[source], 0.0, 0, source)], 0, 0
     push, pop = heapq.heappush, heapq.heappop
@@ -71,15 +71,13 @@ def search(costs: np.ndarray, start: tuple[int, int], goal: tuple[int, int], alg
                 at = came[at]
                 path.append(at)
             return [(p // width - 1, p % width - 1) for p in reversed(path)], g, settled
-        here = cost[at]
-        for step, length, side, other in moves:
+        here = half[at]
+        for step, length, side, other, corners in moves:
             to = at + step
-            there = cost[to]
-            if there == inf or done[to] or (side and (cost[at + side] == inf or cost[at + other] == inf)):
-                continue
-            new = g + (here + there) / 2 * length
-            if new < best[to]:
-                best[to], came[to] = new, at
+            new = g + (here + half[to]) * length  # infinite for blocked cells
+            if new < best[to] and not done[to] and not (corners and (half[at + side] == inf or half[at + other] == inf)):
+                best[to] = new
+                came[to] = at
                 found += 1
                 push(queue, (new + ahead[to], new, found, to))
     raise NoRoute("nothing joins start and goal")
