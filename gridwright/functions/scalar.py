@@ -23,11 +23,6 @@ def fold_keys(attributes: Column) -> Column:
     return F.map_from_entries(F.array_distinct(F.transform(F.map_keys(attributes), lambda k: F.struct(F.lower(k).alias("key"), F.element_at(F.map_values(attributes), F.array_position(F.map_keys(attributes), k).cast("int")).alias("value")))))
 
 
-def first_alias(folded: Column, *names: str) -> Column:
-    """The value under the first of the lower-case names that a folded map holds."""
-    return F.coalesce(*(F.element_at(folded, n) for n in names))
-
-
 def integer_id(text: Column) -> Column:
     """A whole number from text, null otherwise."""
     return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("bigint"))

@@ -9,33 +9,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import segments_meet
-from ..functions.scalar import first_alias, fold_keys, integer_id, near
+from ..functions.scalar import fold_keys, integer_id, near
 
-#: Names by which attributes are known, in the order of preference (fixed values).
+# Canonical property and the service's attribute, in lower case, for each component.
+_WATER = {"name": "hydroname", "name_type": "hydronametype", "perenniality": "perenniality", "hierarchy": "hierarchy", "hydro_type": "hydrotype", "relevance": "relevance"}
 ALIASES = {
-    "roads": {"name": ["roadnamebase", "roadname", "name"], "hierarchy": ["functionhierarchy", "hierarchy"], "lanes": ["lanecount", "lanes"]},
-    "hydrography": {"name": ["hydroname", "name"], "hierarchy": ["hierarchy", "perenniality"]},
-    "railways": {"name": ["railwayname", "name"], "status": ["operationalstatus", "status"]},
+    "protected_land": {"name": "name", "land_type": "type", "iucn_category": "iucn", "gazetted_area": "gaz_area", "gis_area": "gis_area", "reserve_number": "res_no", "gazetted_date": "gaz_date"},
+    "hydrography_line": _WATER,
+    "named_watercourse_ss": _WATER,
+    "named_watercourse_ls": _WATER,
+    "hydrography_area": {k: v for k, v in _WATER.items() if k != "hierarchy"},
+    "roads": {"name": "roadnamebase", "name_type": "roadnametype", "hierarchy": "functionhierarchy", "operational_type": "roadontype", "surface": "surface", "lane_count": "lanecount", "operational_status": "operationalstatus", "relevance": "relevance"},
+    "railways": {"name": "railwayname", "gauge": "gauge", "operational_type": "railontype", "operational_status": "operationalstatus", "relevance": "relevance"},
 }
+# Attributes that an inventory keeps.
+COMPACT = {
+    "protected_land": ["NAME", "NAME_SHORT", "TYPE", "IUCN", "RES_NO"],
+    "hydrography_line": ["hydroname", "hydronametype", "perenniality", "hierarchy", "hydrotype", "relevance"],
+    "hydrography_area": ["hydroname", "hydronametype", "perenniality", "hydrotype", "relevance"],
+    "roads": ["roadnamebase", "roadnametype", "functionhierarchy", "roadontype", "surface", "lanecount", "operationalstatus", "relevance"],
+    "railways": ["railwayname", "gauge", "railontype", "operationalstatus", "relevance"],
+}
+# Attributes that may hold the id, in the order of preference.
 ID_NAMES = ["objectid", "object_id", "fid", "id"]
 PRIVATE_KEYS = ["source", "artifact_path", "raster_path", "cache_path", "manifest_path"]
 
 
+def _present(folded, names: dict[str, str]):
+    """A map of the named keys of a folded map that are there, nulls included."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.element_at(folded, v).alias("value"), F.map_contains_key(folded, v).alias("there")) for k, v in names.items()))
+    return F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["there"]), lambda p: F.struct(p["key"], p["value"])))
+
+
 def canonical_features(features: DataFrame, component: str) -> DataFrame:
     """object_id and the canonical properties of features(attributes map); absent ones are left out of the map.
 
-    object_id is null where no attribute holds a whole number: such rows break the contract."""
+    The first id attribute that is there decides: object_id is null where it holds no whole number, and
+    such rows break the contract."""
     x = features.withColumn("_a", fold_keys(F.col("attributes")))
-    names = ALIASES[component]
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), first_alias(F.col("_a"), *v).alias("value")) for k, v in names.items()))
-    properties = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
-    return x.select(*features.columns, integer_id(first_alias(F.col("_a"), *ID_NAMES)).alias("object_id"), properties.alias("properties")).drop("_a")
+    found = F.coalesce(*(F.when(F.map_contains_key("_a", n), F.coalesce(F.element_at("_a", F.lit(n)), F.lit(""))) for n in ID_NAMES))
+    return x.select(*features.columns, integer_id(found).alias("object_id"), _present(F.col("_a"), ALIASES[component]).alias("properties"))
 
 
 def compact_attributes(features: DataFrame, names: list[str]) -> DataFrame:
-    """features with only the named attributes, compared in lower case, under the names they came with."""
-    wanted = F.array(*(F.lit(n.lower()) for n in names))
-    return features.withColumn("attributes", F.map_filter("attributes", lambda k, _: F.array_contains(wanted, F.lower(k))))
+    """features with only the named attributes, compared in lower case, under the names of the list."""
+    return features.withColumn("attributes", _present(fold_keys(F.col("attributes")), {n: n.lower() for n in names}))
 
 
 def polyline_segments(lines: DataFrame, key: str = "id") -> DataFrame:

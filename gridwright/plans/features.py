@@ -27,15 +27,15 @@ def _attributes(spark, sf_dir):
     return b.table(spark, sf_dir, "part").select(k.alias("id"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("attributes"))
 
 
-@R.query("SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey END AS object_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name, (p_size % 9)::VARCHAR AS hierarchy FROM part")
+@R.query("SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey END AS object_id, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN p_name END AS name, (p_size % 9)::VARCHAR AS hierarchy FROM part")
 def canonical_features(spark, sf_dir):
     x = vector.canonical_features(_attributes(spark, sf_dir), "roads")
     return x.select("id", "object_id", F.col("properties")["name"].alias("name"), F.col("properties")["hierarchy"].alias("hierarchy"))
 
 
-@R.query("""SELECT p_partkey AS id, array_to_string(list_sort(list_filter([CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN 'NAME=' || p_name END, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'RoadNameBase=' || p_name END, 'FunctionHierarchy=' || (p_size % 9)], lambda x: x IS NOT NULL)), '|') AS kept FROM part""")
+@R.query("""SELECT p_partkey AS id, array_to_string(list_filter(['functionhierarchy=' || (p_size % 9), CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'roadnamebase=' || p_name END], lambda x: x IS NOT NULL), '|') AS kept FROM part""")
 def compact_attributes(spark, sf_dir):
-    x = vector.compact_attributes(_attributes(spark, sf_dir), ["name", "roadnamebase", "functionhierarchy"])
+    x = vector.compact_attributes(_attributes(spark, sf_dir), vector.COMPACT["roads"])
     return x.select("id", F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("kept"))
 
 

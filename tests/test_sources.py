@@ -241,7 +241,7 @@ def test_routes_and_features(spark):
     assert sorted(x.id for x in vector.intersecting(line, f, 30.0).collect()) == [7, 8]
     x = spark.createDataFrame([({"RoadNameBase": "Pacific", "FunctionHierarchy": "2", "LaneCount": "2", "ObjectId": "42"},), ({"name": "x"},)], "attributes map<string,string>")
     a, b = vector.canonical_features(x, "roads").collect()
-    assert a.object_id == 42 and a.properties == {"name": "Pacific", "hierarchy": "2", "lanes": "2"} and a.attributes["RoadNameBase"] == "Pacific" and b.object_id is None
+    assert a.object_id == 42 and a.properties == {"name": "Pacific", "hierarchy": "2", "lane_count": "2"} and a.attributes["RoadNameBase"] == "Pacific" and b.object_id is None
     loop = spark.createDataFrame([(1, [[[0.0, 0.0], [10.0, 10.0], [10.0, 0.0], [0.0, 10.0]]]), (2, [[[0.0, 0.0], [5.0, 5.0], [9.0, 0.0]], [[1.0, 1.0]]])], "id int, paths array<array<array<double>>>")
     s = vector.polyline_segments(loop)
     assert s.count() == 5 and [x.id for x in vector.crossings_of_itself(s, "id", 4.0).collect()] == [1]
