@@ -32,6 +32,7 @@ DICTIONARY = 16 * 1024
 TOXIC_DICTIONARY = 4 * 1024
 #: The classifier is fitted on a sample of labelled texts of about so many bytes in each class.
 SAMPLE_BYTES = 12_000_000
+ROW_BYTES = 64
 STEMS = range(4, 13)
 _WORD = re.compile(r"\S+")
 
@@ -166,13 +167,17 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
     """Toxic and ordinary texts of rows outside the held-out fold, about sample_bytes of each at most, picked by hash."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(~held_out(5, 0)).join(marks, "doc_id")
-    sums = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(~held_out(5, 0))
+    # every text counts some bytes more, which bounds the number of ids as well
+    known = docs.select("doc_id", (F.octet_length("text") + ROW_BYTES).alias("n")).join(marks, "doc_id")
+    sums = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
     most = F.lit(0)
     for toxic, n in sums.items():
         most = F.when(F.col("toxic") == toxic, F.lit(int((1 << 20) * min(1.0, sample_bytes / max(n, 1))))).otherwise(most)
-    rows = known.filter(rank < most).select("doc_id", "toxic", "text").collect()  # bounded by sample_bytes
+    # at most about sample_bytes / ROW_BYTES ids a class, so texts never move for the others
+    picked = known.filter(rank < most).select("doc_id", "toxic").distinct()
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()  # bounded by sample_bytes
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
 
