@@ -146,3 +146,24 @@ def benchmark_costs(size: int):
     return 1.0 + np.where(wall, np.where(r < int(size * 0.72), 7.0, 1.0), 0.0) + np.where(band, np.where(c > int(size * 0.18), 5.0, 1.0), 0.0) + np.where(disc, 4.0, 0.0)
 
 
+
+
+def fill(rings: DataFrame, west: float, north: float, cell: float, rows: int, cols: int, key: str = "id") -> DataFrame:
+    """key, row, col of every cell whose centre an area covers: ring segments (key, x1, y1, x2, y2), even-odd over all rings.
+
+    Every edge gives its crossing with each row of centres it spans; sorted crossings pair up to runs of cells."""
+    y = lambda r: north - (r + 0.5) * cell
+    lo, hi = F.floor((north - F.greatest("y1", "y2")) / cell - 0.5) + 1, F.ceil((north - F.least("y1", "y2")) / cell - 0.5) - 1
+    span = rings.filter(F.col("y1") != F.col("y2")).withColumns({"lo": F.greatest(F.lit(0), lo.cast("int") - 1), "hi": F.least(F.lit(rows - 1), hi.cast("int") + 1)}).filter("lo <= hi")
+    hits = span.withColumn("row", F.explode(F.sequence("lo", "hi"))).filter((F.least("y1", "y2") <= y(F.col("row"))) & (y(F.col("row")) < F.greatest("y1", "y2")))
+    at = hits.select(key, "row", (F.col("x1") + (y(F.col("row")) - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("x"))
+    runs = at.groupBy(key, "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = runs.select(key, "row", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", i * 2).alias("a"), F.get("xs", i * 2 + 1).alias("b")))).alias("p"))
+    first, last = F.ceil((F.col("p.a") - west) / cell - 0.5).cast("int"), (F.ceil((F.col("p.b") - west) / cell - 0.5) - 1).cast("int")
+    inside = pairs.withColumns({"a": F.greatest(F.lit(0), first), "b": F.least(F.lit(cols - 1), last)}).filter("a <= b")
+    return inside.select(key, "row", F.explode(F.sequence("a", "b")).alias("col")).distinct()
+
+
+def burn_areas(rings: DataFrame, west: float, north: float, cell: float, rows: int, cols: int, key: str = "id") -> DataFrame:
+    """row, col of every cell that an area touches: cells under its rings and cells with their centre inside."""
+    return burn(rings, west, north, cell, rows, cols).unionByName(fill(rings, west, north, cell, rows, cols, key).select("row", "col")).distinct()

@@ -118,3 +118,24 @@ def strip_private(document, private: list[str] = PRIVATE_KEYS):
         return texts.map(lambda t: json.dumps(clean(json.loads(t)), separators=(",", ":")), na_action="ignore")
 
     return strip(document)
+
+
+def length_inside(routes: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """preset, id, length of routes' segments (preset, step, x1, y1, x2, y2) inside areas' ring segments (id, x1, y1, x2, y2).
+
+    The crossings of a segment's line with all rings of an area, sorted, pair up to the stretches
+    inside (even-odd); these are cut to the segment. Segments meet areas by the grid buckets of `size`
+    under their boxes."""
+    boxes = areas.groupBy("id").agg(F.min(F.least("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y1"), F.max(F.greatest("x1", "x2")).alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2"))
+    r = bucketed(routes, size).select("preset", "step", "bx", "by", *(F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")))
+    pairs = r.join(bucketed(boxes, size).select("id", "bx", "by"), ["bx", "by"]).drop("bx", "by").distinct()
+    dx, dy = F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1")
+    side = lambda x, y: dx * (y - F.col("ry1")) - dy * (x - F.col("rx1"))
+    edges = pairs.join(areas, "id").withColumns({"a": side(F.col("x1"), F.col("y1")), "b": side(F.col("x2"), F.col("y2"))}).filter((F.col("a") < 0) != (F.col("b") < 0))
+    k = F.col("a") / (F.col("a") - F.col("b"))
+    px, py = F.col("x1") + k * (F.col("x2") - F.col("x1")), F.col("y1") + k * (F.col("y2") - F.col("y1"))
+    t = ((px - F.col("rx1")) * dx + (py - F.col("ry1")) * dy) / (dx * dx + dy * dy)
+    cuts = edges.select("preset", "step", "id", F.hypot(dx, dy).alias("size"), t.alias("t")).groupBy("preset", "step", "id").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.first("size").alias("size"))
+    hold = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    inside = F.aggregate(F.transform(F.sequence(F.lit(0), F.floor(F.size("ts") / 2).cast("int") - 1), lambda i: hold(F.get("ts", i * 2 + 1)) - hold(F.get("ts", i * 2))), F.lit(0.0), lambda x, y: x + y)
+    return cuts.select("preset", "id", (inside * F.col("size")).alias("length")).groupBy("preset", "id").agg(F.sum("length").alias("length")).filter("length > 0")
