@@ -80,3 +80,12 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     number = lambda name: F.regexp_extract("x", rf"<{name}\b[^>]*>(?:\s|<(?!/{name}\b)[^>]*>)*([-+0-9.eE]+)", 1).try_cast("double")
     attribute = lambda name: F.regexp_extract("x", rf"<nrInvalidPixels\b[^>]*\b{name}=[\"']([^\"']*)", 1).try_cast("double")
     return files.withColumn("x", plain).select("path", number("westBoundLongitude").alias("west"), number("southBoundLatitude").alias("south"), number("eastBoundLongitude").alias("east"), number("northBoundLatitude").alias("north"), number("resolution").alias("resolution"), attribute("valueInvalidPixels").alias("invalid_value"), number("nrInvalidPixels").cast("long").alias("invalid_pixels"))
+
+
+def identity_violations(spark: SparkSession, path: str, release: str, crs: int, nodata: int) -> DataFrame:
+    """path, problem of raster metadata XML that does not name the release, the system's code and the nodata value."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"(</?)[A-Za-z_][\w.-]*:", "$1").alias("x"))
+    text = F.regexp_replace("x", "<[^>]*>", " ")
+    rules = {"release": F.contains(text, F.lit(release)), "crs": F.col("x").rlike(rf"<identCode\b[^>]*\bcode=[\"']{crs}[\"']"), "nodata": F.col("x").rlike(rf"<NoDataValue\b[^>]*>\s*{nodata}\s*</NoDataValue>")}
+    bad = F.filter(F.array(*(F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
+    return files.select("path", F.explode(bad).alias("problem"))

@@ -57,6 +57,13 @@ def test_xml_sidecars(spark, tmp_path):
     assert (r.west, r.south, r.east, r.north, r.resolution, r.invalid_value, r.invalid_pixels) == (150, -33, 151, -32, 30, -32767, 7)
 
 
+def test_raster_identity(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<m:meta xmlns:m="u"><m:title>Release_7</m:title><identCode code="3308"/><NoDataValue> 65535 </NoDataValue></m:meta>')
+    (tmp_path / "b.xml").write_text("<meta><title>other</title><identCode code='1'/></meta>")
+    got = {(r.path[-5], r.problem) for r in geotiff.identity_violations(spark, f"file://{tmp_path}", "Release_7", 3308, 65535).collect()}
+    assert got == {("b", "release"), ("b", "crs"), ("b", "nodata")}
+
+
 def dbf(fields, rows):
     head = struct.pack("<B3xIHH20x", 3, len(rows), 33 + 32 * len(fields), 1 + sum(f[2] for f in fields))
     body = b"".join(n.encode().ljust(11, b"\0") + k.encode() + bytes(4) + bytes([size, dec]) + bytes(14) for n, k, size, dec in fields)
