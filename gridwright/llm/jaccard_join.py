@@ -74,27 +74,35 @@ def part_keys(shingles: np.ndarray, percent: int, uppers: list[int]) -> list[np.
     return out
 
 
-def signatures(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_id, keys."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, set_id (null for an empty set)."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            ids = [hashlib.blake2b(s.tobytes(), digest_size=12).digest() if len(s) else None for s in sets]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "set_id"])
+
+        return each
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_shingles long, set_id binary", make)
+
+
+def keyed_parts(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """node, key for docs(doc_id, text)."""
 
     def make():
         uppers = size_bands(percent)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ids, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, words)
-                sizes.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=12).digest() if len(s) else None)
-                found = part_keys(s, percent, uppers)
-                keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), listed], ["doc_id", "n_shingles", "set_id", "keys"])
+            found = [part_keys(shingle_set(t, words), percent, uppers) for t in batch.column("text").to_pylist()]
+            keys = [np.concatenate(k) if k else np.zeros(0, np.uint64) for k in found]
+            nodes = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["node", "key"])
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n_shingles long, set_id binary, keys array<long>", make)
+    return map_batches(docs.select("doc_id", "text"), "node long, key long", make)
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -157,26 +165,32 @@ def assign_tiles(members: DataFrame, percent: int) -> DataFrame:
     return one.union(many)
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for docs(doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(signatures(docs, percent, words), "signatures")
+    sig = materialise(signatures(docs, words), "signatures")
     # one class for equal sets, represented by its smallest doc_id; equal sets have equal keys
     classes = materialise(sig.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
-    heads = sig.select("set_id", "doc_id", "n_shingles", "keys").join(classes, (sig.set_id == classes.set_id) & (sig.doc_id == classes.node), "left_semi")
-    keyed = heads.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    heads = docs.join(_sized(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    # dealt out by key once, for the keys' counts and for the join with them: the filter that the join
+    # implies is written out, so that both share the exchange. A group of copies has its many keys in
+    # all partitions
+    keyed = keyed_parts(heads, percent, words).filter("node is not null and key is not null").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    links = keyed.join(shared, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = keyed.join(shared.hint("merge"), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = connected_components(links, "near")
     sizes = sig.select(F.col("doc_id").alias("node"), "n_shingles").filter("n_shingles > 0").dropDuplicates(["node"])
     members = materialise(near.join(sizes, "node"), "members")
     tiles = materialise(assign_tiles(members, percent), "tiles")
 
-    ids = members.select(F.col("node").alias("doc_id"))
-    ids = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(_sized(members.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,8 +218,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group; empty texts all stay."""
     kept = materialise(jaccard_components(docs, percent, words).filter("component_id = doc_id").select("doc_id").distinct(), "kept")
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    first = docs.join(kept, "doc_id", "left_semi")
+    first = docs.join(_sized(kept), "doc_id", "left_semi")
     return first.unionByName(docs.filter("doc_id is null"))
 
 

@@ -284,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     found = anchor_rows(docs, length)
     shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).filter("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
+    shared = materialise(shared, "anchor-hashes")  # read back, so that a hash of very many places can be split in the join
     known = materialise(found.join(shared, "h"), "anchors")
     classes = known.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("head"), F.first("mixed").alias("mixed"), F.first("l").alias("l"), F.first("r").alias("r"))
     classes = materialise(classes, "anchor-classes")
@@ -302,8 +303,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         matched = matched.union(hot_matches(with_text(mixed.join(hot, "h")), length))
     # a class of several places is doubled wherever a window fits; one place needs another class
     several = classes.filter((F.col("n") > 1) & (F.col("l") + F.col("r") >= length)).select("h", "c", F.greatest(F.lit(0), length - F.col("r")).cast("int").alias("low"), F.col("l").cast("int").alias("high"))
-    doubled = several.union(matched).groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    spans = known.select("h", "c", "row", "pos").join(doubled, ["h", "c"]).select("row", F.struct((F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + length).alias("b")).alias("span"))
+    alone = classes.filter("n = 1 and mixed").select("h", "c", F.col("head.row").alias("row"), F.col("head.pos").alias("pos"))
+    places = known.select("h", "c", "row", "pos").join(several, ["h", "c"]).unionByName(alone.join(matched, ["h", "c"]))
+    spans = places.select("row", F.struct((F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + length).alias("b")).alias("span"))
     return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
 
 
