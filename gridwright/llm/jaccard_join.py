@@ -3,7 +3,9 @@
 Documents with equal shingle sets form one class; classes are what is joined. The hash space is
 dealt into parts, more of them than two linked sets of the same size band can differ in, so linked
 sets share a non-empty part exactly. Classes that share a part (through others too) meet in one
-tile, in large groups in tiles of (size band, block) pairs. Inside a tile, the bits in which two
+tile. Linked sets share a part however the space is dealt, so the classes of a large group are
+grouped again by parts dealt anew, which undoes groups that only chance parts hold together; what
+stays large is compared in tiles of (size band, block) pairs. Inside a tile, the bits in which two
 hashed bitmaps differ bound the overlap from above; sets that pass are intersected as sorted arrays.
 Links already implied by earlier ones of the tile are not looked at again.
 
@@ -27,6 +29,8 @@ from .components import connected_components
 
 #: Largest number of classes in a block; a tile is one block or a pair of them.
 BLOCK = 192
+#: Times that the hash space is dealt anew for groups of more classes than a block, if there are any.
+TURNS = 3
 #: Member ids are broadcast up to so many (8 bytes each), else texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -56,12 +60,12 @@ def parts_of_band(band: int, uppers: list[int], percent: int) -> tuple[int, int]
     return differ + 1 + spare, spare
 
 
-def part_keys(shingles: np.ndarray, percent: int, uppers: list[int]) -> list[np.ndarray]:
-    """Keys of which two linked, different sets share at least one."""
+def part_keys(shingles: np.ndarray, percent: int, uppers: list[int], turn: int = 0) -> list[np.ndarray]:
+    """Keys of which two linked, different sets share at least one, whichever the turn."""
     n, out = len(shingles), []
     if not n:
         return out
-    mixed = mix64(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    mixed = mix64(shingles ^ np.uint64((0x5851F42D4C957F2D + turn * 0x9E3779B97F4A7C15) % (1 << 64)))
     # the bands of every size that a linked set, this one included, can have as the larger one
     for band in range(max(1, bisect_left(uppers, n)), bisect_left(uppers, 100 * n // percent) + 1):
         parts, spare = parts_of_band(band, uppers, percent)
@@ -88,14 +92,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), "doc_id long, n_shingles long, set_id binary", make)
 
 
-def keyed_parts(docs: DataFrame, percent: int, words: int) -> DataFrame:
+def keyed_parts(docs: DataFrame, percent: int, words: int, turn: int = 0) -> DataFrame:
     """node, key for docs(doc_id, text)."""
 
     def make():
         uppers = size_bands(percent)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [part_keys(shingle_set(t, words), percent, uppers) for t in batch.column("text").to_pylist()]
+            found = [part_keys(shingle_set(t, words), percent, uppers, turn) for t in batch.column("text").to_pylist()]
             keys = [np.concatenate(k) if k else np.zeros(0, np.uint64) for k in found]
             nodes = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["node", "key"])
@@ -170,6 +174,31 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def groups_by_key(keyed: DataFrame, label: str) -> DataFrame:
+    """node, component for the nodes of keyed(node, key) that share a key with another, through others too."""
+    # dealt out by key once, for the keys' counts and for the join with them: the filter that the join
+    # implies is written out, so that both share the exchange. A group of copies has its many keys in
+    # all partitions
+    keyed = keyed.filter("node is not null and key is not null").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+    links = keyed.join(shared.hint("merge"), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return connected_components(links, label)
+
+
+def regroup(near: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """near(node, component) with the large components grouped again, TURNS times at most."""
+    for turn in range(1, TURNS + 1):
+        sizes = near.groupBy("component").agg(F.count("*").alias("m"))
+        sized = materialise(near.join(sizes, "component"), f"near-{turn}")
+        large = sized.filter(F.col("m") > BLOCK).select("node", "component")
+        if large.isEmpty():
+            break
+        texts = docs.join(_sized(large.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+        keyed = keyed_parts(texts, percent, words, turn).join(_sized(large), "node").select("node", F.xxhash64("component", "key").alias("key"))
+        near = sized.filter(F.col("m") <= BLOCK).select("node", "component").union(groups_by_key(keyed, f"near-{turn}"))
+    return near
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -179,13 +208,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
     # one class for equal sets, represented by its smallest doc_id; equal sets have equal keys
     classes = materialise(sig.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
     heads = docs.join(_sized(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    # dealt out by key once, for the keys' counts and for the join with them: the filter that the join
-    # implies is written out, so that both share the exchange. A group of copies has its many keys in
-    # all partitions
-    keyed = keyed_parts(heads, percent, words).filter("node is not null and key is not null").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    links = keyed.join(shared.hint("merge"), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = connected_components(links, "near")
+    near = regroup(groups_by_key(keyed_parts(heads, percent, words), "near"), docs, percent, words)
     sizes = sig.select(F.col("doc_id").alias("node"), "n_shingles").filter("n_shingles > 0").dropDuplicates(["node"])
     members = materialise(near.join(sizes, "node"), "members")
     tiles = materialise(assign_tiles(members, percent), "tiles")

@@ -261,8 +261,9 @@ def test_part_keys_lose_no_pair():
             b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, int(r.integers(0, 1 + n * (100 - percent) // 200))).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 0 < common and len(a) + len(b) - common > common and 100 * common >= percent * (len(a) + len(b) - common):
-                x, y = (set(np.concatenate(jaccard_join.part_keys(s, percent, uppers)).tolist()) for s in (a, b))
-                assert x & y, (percent, len(a), len(b), common)
+                for turn in range(jaccard_join.TURNS + 1):
+                    x, y = (set(np.concatenate(jaccard_join.part_keys(s, percent, uppers, turn)).tolist()) for s in (a, b))
+                    assert x & y, (percent, len(a), len(b), common, turn)
 
 
 def test_near_duplicates_keep_one(docs, empty):
