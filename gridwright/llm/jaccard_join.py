@@ -185,9 +185,9 @@ def groups_by_key(keyed: DataFrame, label: str) -> DataFrame:
     return connected_components(links, label)
 
 
-def regroup(near: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """near(node, component) with the large components grouped again, TURNS times at most."""
-    for turn in range(1, TURNS + 1):
+def regroup(near: DataFrame, docs: DataFrame, percent: int, words: int, turns: int) -> DataFrame:
+    """near(node, component) with the large components grouped again, so many times at most."""
+    for turn in range(1, turns + 1):
         sizes = near.groupBy("component").agg(F.count("*").alias("m"))
         sized = materialise(near.join(sizes, "component"), f"near-{turn}")
         large = sized.filter(F.col("m") > BLOCK).select("node", "component")
@@ -199,8 +199,9 @@ def regroup(near: DataFrame, docs: DataFrame, percent: int, words: int) -> DataF
     return near
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id for docs(doc_id, text)."""
+def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, turns: int = 0) -> DataFrame:
+    """doc_id, n_shingles, component_id for docs(doc_id, text). The result is the same for any turns;
+    they pay where parts are short, so that chance parts chain many classes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -208,7 +209,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
     # one class for equal sets, represented by its smallest doc_id; equal sets have equal keys
     classes = materialise(sig.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
     heads = docs.join(_sized(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    near = regroup(groups_by_key(keyed_parts(heads, percent, words), "near"), docs, percent, words)
+    near = regroup(groups_by_key(keyed_parts(heads, percent, words), "near"), docs, percent, words, turns)
     sizes = sig.select(F.col("doc_id").alias("node"), "n_shingles").filter("n_shingles > 0").dropDuplicates(["node"])
     members = materialise(near.join(sizes, "node"), "members")
     tiles = materialise(assign_tiles(members, percent), "tiles")
@@ -240,7 +241,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group; empty texts all stay."""
-    kept = materialise(jaccard_components(docs, percent, words).filter("component_id = doc_id").select("doc_id").distinct(), "kept")
+    kept = materialise(jaccard_components(docs, percent, words, TURNS).filter("component_id = doc_id").select("doc_id").distinct(), "kept")
     first = docs.join(_sized(kept), "doc_id", "left_semi")
     return first.unionByName(docs.filter("doc_id is null"))
 
