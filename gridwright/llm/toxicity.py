@@ -5,7 +5,8 @@ one on the parts of toxic text that ordinary text lacks (words whose opening let
 over-represented beyond chance). Every 80-byte window of a text, overlapping by 24 bytes, is compressed with
 the ordinary dictionary and with the ordinary and toxic ones joined; the bytes that the toxic part
 saves are the distance. A logistic curve, fitted on the half of the sample that trained no
-dictionary, turns a document's distances into a score.
+dictionary, turns a document's distances into a score. The sample takes other shares of the two classes
+than the labels have; the curve's intercept is set back by the log of the two rates.
 
 Defined results: null and empty texts have no window that the toxic part shortens and get the score
 of such a text; without labels of both kinds every score is the smoothed share of toxic labels;
@@ -142,11 +143,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from every other text, the curve from the rest."""
+def fit(toxic: list[str], ordinary: list[str], rates: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Dictionaries from every other text, the curve from the rest; rates: the shares of the labelled toxic and ordinary texts that the sample took."""
     n = 4
     if not toxic or not ordinary:
-        share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+        a, b = len(toxic) / rates[0], len(ordinary) / rates[1]
+        share = (a + 0.5) / (a + b + 1)
         return Model(b"", b"", np.array([np.log(share / (1 - share)), *[0.0] * n]), np.zeros(n), np.ones(n))
     ta, tb = toxic[::2], toxic[1::2] or toxic
     oa, ob = ordinary[::2], ordinary[1::2] or ordinary
@@ -160,26 +162,29 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     y = np.array([1.0] * len(tb) + [0.0] * len(ob))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - model.mean) / model.scale, y)
-    # the sample holds other shares of the classes than the labels; fit() takes them as they come
+    # the odds of the sample are those of the labels times the ratio of the rates
+    model.weights[0] -= np.log(rates[0] / rates[1])
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """Toxic and ordinary texts of rows outside the held-out fold, about sample_bytes of each at most, picked by hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str], tuple[float, float]]:
+    """Toxic and ordinary texts of rows outside the held-out fold, about sample_bytes of each at most, picked by hash, and the rates of the picks."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(~held_out(5, 0))
     # every text counts some bytes more, which bounds the number of ids as well
     known = docs.select("doc_id", (F.octet_length("text") + ROW_BYTES).alias("n")).join(marks, "doc_id")
     sums = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
+    limits = {toxic: max(1, int((1 << 20) * min(1.0, sample_bytes / max(n, 1)))) for toxic, n in sums.items()}
     most = F.lit(0)
-    for toxic, n in sums.items():
-        most = F.when(F.col("toxic") == toxic, F.lit(int((1 << 20) * min(1.0, sample_bytes / max(n, 1))))).otherwise(most)
+    for toxic, limit in limits.items():
+        most = F.when(F.col("toxic") == toxic, F.lit(limit)).otherwise(most)
     # at most about sample_bytes / ROW_BYTES ids a class, so texts never move for the others
     picked = known.filter(rank < most).select("doc_id", "toxic").distinct()
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()  # bounded by sample_bytes
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
+    rates = tuple(limits.get(toxic, 1 << 20) / (1 << 20) for toxic in (1, 0))
+    return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], rates
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -199,6 +199,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit([], [])).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_sampling_rates(spark):
+    """Half of the marked texts are toxic, and the mean score is the share of toxic labels, whatever share of the ordinary texts the sample holds."""
+
+    def marked(seed):
+        r, t = random.Random(seed), words(seed, 40).split()
+        for _ in range(6):
+            t.insert(r.randrange(40), r.choice(["vileword", "hatespeak", "slurring"]))
+        return " ".join(t)
+
+    rows = [(i, marked(f"r{i}") if i % 16 < 2 else words(f"r{i}", 40), int(i % 16 == 0)) for i in range(3200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    toxic_bytes = sum(len(t) + toxicity.ROW_BYTES for _, t, x in rows if x)
+    means = []
+    for sample_bytes in (toxicity.SAMPLE_BYTES, toxic_bytes):
+        sample = toxicity.labelled_sample(docs, labels, sample_bytes)
+        score = toxicity.fit(*sample).scorer()
+        means.append([np.mean([score(t)[0] for t in x]) for x in ([t for _, t, _ in rows], [marked(f"new{i}") for i in range(40)])])
+    assert len(sample[1]) < 600  # the second sample left most ordinary texts out
+    assert all(abs(share - 1 / 16) < 0.025 for share, _ in means)
+    assert abs(means[0][1] - means[1][1]) < 0.2
+
+
 def test_line_templates(spark, docs, empty):
     rows = []
     for i in range(30):
