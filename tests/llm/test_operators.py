@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridwright.llm import decontaminate, jaccard_join, langmix, line_templates, media, packing, suffix_dedup, token_store, toxicity, url_rules
 from gridwright.llm.common import PieceEncoder, tokenizer_path
 from gridwright.llm.components import connected_components
@@ -240,6 +241,38 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def test_line_blocks_of_the_pipeline(spark):
+    """Blocks go whole, a frequent footer goes, copied documents stay."""
+    rows, want = [], {}
+
+    def put(lines, kept):
+        want[len(rows)] = "\n".join(kept)
+        rows.append((len(rows), "\n".join(lines)))
+
+    own = lambda i, k: words(f"own{i}-{k}", 11)
+    block = [words(f"block{k}", 6 + k) for k in range(4)]
+    end = [words(f"end{k}", 6 + k) for k in range(2)]
+    for i in range(30):
+        body = [own(i, k) for k in range(12)]
+        put([*body[:5], *block, *body[5:], *end], body)
+    footer, kinds = words("footer", 14), [words(f"kind{k}", 13) for k in range(20)]
+    for i in range(120):
+        body = [own(1000 + i, k) for k in range(3)]
+        put([*body, kinds[i % 20], footer], [*body, kinds[i % 20]])  # 20 neighbours in 120 documents; each of them in six only
+    copied = [words(f"copied{k}", 10) for k in range(16)]
+    for i in range(20):
+        put(copied, copied)
+    near = [words(f"near{k}", 10) for k in range(16)]
+    for i in range(60):
+        changed = [own(2000 + i, 0) if k == i % 16 else t for k, t in enumerate(near)]
+        put(changed, changed)
+    for i in range(20):  # a copied text under a title of its own loses its first line only, as before
+        text = [words(f"titled{k}", 10) for k in range(6)]
+        put([own(3000 + i, 0), *text], [own(3000 + i, 0), *text[1:]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(texts_of(corpus_pipeline.line_dedup(spark, docs, ""))) == want
+
+
 def brute_components(rows, percent, n):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     sets, root = {}, {}
