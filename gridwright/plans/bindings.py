@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cost, grid
@@ -59,12 +59,22 @@ def routes(spark: SparkSession) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, paths: for each user of the events table, the first twelve events as a line; x from value, y from the order."""
-    e = table(spark, sf_dir, "events").filter("value is not null").select("user_id", F.struct("event_id", F.round(F.col("value") * 100).cast("long").alias("v")).alias("e"))
-    first = e.groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, 12).alias("es"))
-    point = lambda x, i: F.array((x["v"] % 1200).cast("double"), ((i * 97 + F.col("user_id") * 13) % 1200).cast("double"))
-    return first.select(F.col("user_id").alias("id"), F.array(F.transform("es", point)).alias("paths"))
+def segments(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """id, seq, x1, y1, x2, y2: the events of each user as one line, x from value, y from the order; most: only so many first points.
+
+    The SQL of the queries over lines has `i < 12`; without `most` every event takes part."""
+    e = table(spark, sf_dir, "events").filter("value is not null").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
+    w = Window.partitionBy("user_id").orderBy("event_id", "v")
+    ranked = e.withColumn("i", F.row_number().over(w) - 1)
+    if most is not None:
+        ranked = ranked.filter(F.col("i") < most)
+    points = ranked.select(F.col("user_id").alias("id"), "i", (F.col("v") % 1200).cast("double").alias("x"), ((F.col("i").cast("long") * 97 + F.col("user_id") * 13) % 1200).cast("double").alias("y"))
+    on = Window.partitionBy("id").orderBy("i")
+    return points.select("id", F.col("i").alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(on).alias("x2"), F.lead("y").over(on).alias("y2")).filter("x2 is not null")
+
+
+#: Points of a line in LINES.
+SQL_POINTS = 12
 
 
 CELLS = f"""agg AS (

@@ -214,9 +214,7 @@ def raster_window_nearest(spark, sf_dir):
 s AS (SELECT row, col, list_transform([[bx1, by1], [bx1, by2], [bx2, by1], [bx2, by2]], lambda p: (x2 - x1) * (p[2] - y1) - (y2 - y1) * (p[1] - x1)) AS k FROM boxes)
 SELECT DISTINCT row, col FROM s WHERE list_min(k) <= 0 AND list_max(k) >= 0""")
 def rasterize_all_touched(spark, sf_dir):
-    from ..operators.vector import polyline_segments
-
-    return grid.burn(polyline_segments(b.lines(spark, sf_dir)), 0.0, 1200.0, 60.0, 20, 20)
+    return grid.burn(b.segments(spark, sf_dir, b.SQL_POINTS), 0.0, 1200.0, 60.0, 20, 20)
 
 
 @R.query(f"WITH {b.WIDE} SELECT row, col, closed, " + ", ".join(f"round({c}, 6) AS {c}" for c in cost.COMPONENTS) + " FROM wide")

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from gridwright.plans import catalogue
+from gridwright.plans import bindings, catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
@@ -45,3 +45,18 @@ def test_same_rows_as_sql(spark, duck, name):
     want = duck.sql(catalogue.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert got == rows(want.columns, want.fetchall())
+
+
+def test_lines_take_every_event(spark, duck):
+    """Segments of whole lines against plain Python: no event with a value is left out, no list of a user's events is made."""
+    events = {}
+    for user, event, value in duck.sql("select user_id, event_id, value from events where value is not null").fetchall():
+        events.setdefault(user, []).append((event, round(value * 100)))
+    want = set()
+    for user, es in events.items():
+        line = [(v % 1200, (i * 97 + user * 13) % 1200) for i, (_, v) in enumerate(sorted(es))]
+        want |= {(user, i, *a, *b) for i, (a, b) in enumerate(zip(line, line[1:], strict=False))}
+    whole = bindings.segments(spark, FOLDER)
+    got = [tuple(r) for r in whole.select("id", "seq", "x1", "y1", "x2", "y2").collect()]
+    assert set(got) == want and len(got) == len(want) and max(len(es) for es in events.values()) > 12
+    assert "collect_list" not in whole._jdf.queryExecution().toString()
