@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="gridwright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -40,13 +42,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "written_at", None) if "written_at" in vars(df) else None
+        if path:
+            spark = df.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 8) -> DataFrame:
+    """left joined to right, a table of one row a key that is much the smaller: a hot key's rows are dealt to several tasks."""
+    dealt = left.withColumn("_gw_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_gw_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "_gw_salt"]).drop("_gw_salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

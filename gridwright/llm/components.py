@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps on a table of links.
 
-Every step is a grouped minimum and a join on the node, so no task needs all links of a node and
-no link passes through the driver. The rounds are logarithmic in the longest path in practice.
+Every step is a grouped minimum, combined before the shuffle, and a join on the node and a salt, so no task
+needs all links of a node and no link passes through the driver. The rounds are logarithmic in the longest
+path in practice. Each round's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, salted_join
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -20,13 +21,13 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node links to the smallest in its neighbourhood."""
     both = _both_ways(links)
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return salted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours link to the smallest of them. Rows hold a > b."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    down = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+    down = salted_join(links, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
     return down.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,9 +37,12 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(at)
     while seen[0]:
-        at = materialise(_small_star(_large_star(at).filter("a > b")), label)
+        before, at = at, materialise(_small_star(_large_star(at).filter("a > b")), label)
         now = mark(at)
+        release(before)
         if now == seen:
             break
         seen = now
-    return at.select(F.col("a").alias("node"), F.col("b").alias("component")).union(at.select(F.col("b"), F.col("b"))).distinct()
+    out = materialise(at.select(F.col("a").alias("node"), F.col("b").alias("component")).union(at.select("b", "b").distinct()), label)
+    release(at)
+    return out

@@ -290,7 +290,7 @@ def brute_components(rows, percent, n):
     return {d: (len(sets[d]), root[d]) for d in names}
 
 
-@pytest.mark.parametrize(("percent", "n", "block"), [(90, 3, 192), (80, 5, 192), (80, 3, 4)])
+@pytest.mark.parametrize(("percent", "n", "block"), [(90, 3, 1 << 21), (80, 5, 1 << 21), (80, 3, 900)])
 def test_jaccard_components(spark, percent, n, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     r = random.Random(percent + n)
@@ -302,24 +302,28 @@ def test_jaccard_components(spark, percent, n, block, monkeypatch):
             for _ in range(r.randrange(0, 1 + len(t) // 12)):
                 t[r.randrange(len(t))] = r.choice(WORDS)
             rows.append((len(rows) + 3, " ".join(t[: len(t) - r.randrange(3)])))
+    monkeypatch.setattr(jaccard_join, "COMMON_SHARE", 0.2 if block == 900 else 0.005)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, n)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(rows, percent, n)
 
 
-def test_part_keys_lose_no_pair():
+def test_sent_shingles_of_linked_sets_meet():
     r = np.random.default_rng(2)
+    numbers = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    linked = 0
     for percent in (80, 90, 95):
-        uppers = jaccard_join.size_bands(percent)
-        for _ in range(150):
-            n = int(r.integers(2, 400))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for _ in range(300):
+            n = int(r.integers(1, 400))
+            a = np.unique(numbers(n))
             drop = int(r.integers(0, max(1, n * (100 - percent) // 100 + 1)))
-            b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, int(r.integers(0, 1 + n * (100 - percent) // 200))).astype(np.uint64)]))
+            b = np.unique(np.concatenate([a[drop:], numbers(int(r.integers(0, 1 + n * (100 - percent) // 200)))]))
             common = len(np.intersect1d(a, b))
-            if 0 < common and len(a) + len(b) - common > common and 100 * common >= percent * (len(a) + len(b) - common):
-                for turn in range(jaccard_join.TURNS + 1):
-                    x, y = (set(np.concatenate(jaccard_join.part_keys(s, percent, uppers, turn)).tolist()) for s in (a, b))
-                    assert x & y, (percent, len(a), len(b), common, turn)
+            if common and 100 * common >= percent * (len(a) + len(b) - common):
+                linked += 1
+                for last in (a[:0], np.sort(r.choice(a, len(a) // 2, replace=False))):
+                    x, y = (jaccard_join.sent(s, percent, last) for s in (a, b))
+                    assert len(np.intersect1d(x, y)) >= max(jaccard_join.need(len(s), percent) for s in (a, b))
+    assert linked > 500
 
 
 def test_near_duplicates_keep_one(docs, empty):
@@ -330,6 +334,14 @@ def test_near_duplicates_keep_one(docs, empty):
     assert jaccard_join.one_of_each(empty).count() == 0 and jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_a_repeated_id(spark):
+    """Rows that repeat a doc_id with other texts are one document, with the links of each text."""
+    a, b = words("ra", 80), words("rb", 90)
+    rows = [(7, a), (7, b), (9, a + " more"), (3, b + " more"), (12, words("rc", 50)), (None, a), (7, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5).collect()
+    assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(7, 3), (9, 3), (3, 3), (12, 12), (None, None), (7, 7)}
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5)]
