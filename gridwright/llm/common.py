@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts vary from nothing to megabytes, so batches stay short.
-BATCH_ROWS = 256
+#: Bytes in one Arrow batch: texts vary from nothing to megabytes, so rows are no bound.
+BATCH_BYTES = 2 << 20
 
 CRC_MOD = "crc32(encode(cast(doc_id as string), 'utf-8'))"
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of one Arrow batch for the Python stages of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of one Arrow batch, the same for every Python stage of the session, lazy ones included."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +57,15 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Tables of ids are broadcast up to so many rows (some 24 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it is small enough, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 8) -> DataFrame:
     """left joined to right, a table of one row a key that is much the smaller: a hot key's rows are dealt to several tasks."""
     dealt = left.withColumn("_gw_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, lower_bytes, map_batches, read_table, shingle_hashes, word_hashes
+from .common import WORD_BYTES, bounded, lower_bytes, map_batches, materialise, read_table, shingle_hashes, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -229,8 +229,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no test item, as they are; documents without a doc_id are judged by no id and stay."""
-    leaked = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    leaked = materialise(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
+    return docs.join(bounded(leaked), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,17 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, lower_bytes, map_batches, materialise, read_table, release, shingle_hashes, word_hashes
+from .common import NOT_SPACE, bounded, lower_bytes, map_batches, materialise, read_table, release, shingle_hashes, word_hashes
 from .components import connected_components
 
 #: A tile is one block or a pair of them; a block's classes, times the size of the largest, make so many at most.
 BLOCK = 1 << 21
 #: Share of a set, as 1 / KEEP, by which the shingles that it sends exceed what a linked set may lack.
-KEEP = 5
+KEEP = 8
 #: A shingle that a share of the sampled classes holds is common: it comes last in the order, which loses no link.
 SAMPLE_CLASSES, COMMON_SHARE = 20_000, 0.005
-#: Member ids are broadcast up to so many (24 bytes each), else texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -196,11 +194,6 @@ def assign_tiles(members: DataFrame, percent: int) -> DataFrame:
     return one.union(many)
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """A table of ids, to be broadcast if it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def classes_of(sig: DataFrame) -> DataFrame:
     """set_id, n_shingles, doc_id (the smallest), node, tag of each class of equal sets.
 
@@ -229,7 +222,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signatures(docs, words), "signatures")
     classes = materialise(classes_of(sig), "classes")
-    heads = docs.join(sized(classes.select("doc_id", "node", "tag")), "doc_id")
+    heads = docs.join(bounded(classes.select("doc_id", "node", "tag")), "doc_id")
     common = common_shingles(heads, classes.count(), words)
     keys = materialise(rare_keys(sent_keys(heads, percent, words, common), classes, percent), "keys")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
@@ -246,7 +239,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
 
         return each
 
-    texts = docs.join(sized(tiles), "doc_id").select("node", "tile", "left", "tag", "text")
+    texts = docs.join(bounded(tiles), "doc_id").select("node", "tile", "left", "tag", "text")
     sets = map_batches(texts, "node long, tile string, left boolean, shingles binary", make).filter("length(shingles) > 0")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -271,7 +264,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group; empty texts all stay."""
     first = materialise(jaccard_components(docs, percent, words).filter("component_id = doc_id").select("doc_id").distinct(), "kept")
-    return docs.join(sized(first), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    return docs.join(bounded(first), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,9 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = map_batches(out, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", make)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows are short from here on
-    return packed
+    return map_batches(out, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", make)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Every window of ``length`` bytes holds an anchor: a place whose K-byte hash is the smallest of the
 window. Equal windows have their anchors at equal offsets, so only anchors whose K bytes stand in
 two places need suffixes. Anchors with equal surroundings are one class, which is repeated as it
-is. The classes' suffixes are sorted in runs, exchanged front-coded by key range, and merged with
-loser trees that carry the common prefix with the last winner and never compare those bytes again.
-The common prefixes of neighbours, on both sides of the anchor, give every window that has a double.
+is. The classes' suffixes, and what stands before them read backwards, are sorted in runs, exchanged
+front-coded by key range (ranges of a bounded number of suffixes, so that a task's memory does not grow),
+and merged with loser trees that carry the common prefix with the last winner and never compare those bytes
+again. The common prefixes of neighbours, on both sides of the anchor, give every window that has a double.
 
 Byte b of a text is removed if a window over b also starts elsewhere, in this text or another one;
 overlapping windows count, and all is judged on the input. Defined results: null is an empty text;
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, materialise, mix64, prefix_codes, read_table, slice_hashes
+from .common import bounded_batches, map_batches, materialise, mix64, prefix_codes, read_table, release, slice_hashes
 
 LENGTH = 200
 K = 64
-#: Anchor groups with more classes than this are matched by window hashes, spread over all tasks.
+#: Suffixes in a key range on average, and bytes that a task holds before it sends a run to each range.
+RANGE_SUFFIXES, RUN_BYTES = 16_384, 12_000_000
+#: A range cannot split an anchor; anchors of more classes than this are matched by window hashes, spread over all tasks.
 HOT_CLASSES = 20_000
 KEY = 8
 
@@ -191,14 +194,8 @@ def doubled_offsets(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray
     return low, high
 
 
-def _sorted_with_prefixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    prefixes = [0, *(common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False))]
-    return np.array(prefixes[: len(order)], np.int64), np.array(order, np.int64)
-
-
 def sorted_runs(heads: DataFrame, length: int, ranges: int) -> DataFrame:
-    """range, h, c, l, r, lefts, run: one front-coded run of suffixes for each batch and key range.
+    """range, h, c, l, r, run, left_run, left_at: front-coded runs of suffixes, and of what is before them, for each batch and key range.
 
     heads: data and at, an array of the anchors (h, c, pos) to take from it."""
 
@@ -208,48 +205,53 @@ def sorted_runs(heads: DataFrame, length: int, ranges: int) -> DataFrame:
 
         def flush():
             held.sort()
-            key = np.array([x[2] for x in held], np.int64).view(np.uint64)
+            key = mix64(np.array([x[2] for x in held], np.int64).view(np.uint64))
             part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(int)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(held)]
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 group = held[a:b]
-                values = (int(part[a]), [x[2] for x in group], [x[3] for x in group], [len(x[1]) for x in group], [x[4] for x in group], b"".join(x[1] for x in group), front_code([x[0] for x in group]))
+                lefts = [x[0][:KEY] + x[1] for x in group]
+                left_at = sorted(range(b - a), key=lefts.__getitem__)
+                values = (int(part[a]), [x[2] for x in group], [x[3] for x in group], [len(x[1]) for x in group], [x[4] for x in group], front_code([x[0] for x in group]), front_code([lefts[i] for i in left_at]), left_at)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "h", "c", "l", "r", "lefts", "run"])
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "h", "c", "l", "r", "run", "left_run", "left_at"])
 
         for batch in batches:
             for data, at in zip(batch.column("data").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                for x in at:
-                    pos, key = x["pos"], x["h"] & 0xFFFFFFFFFFFFFFFF
+                # anchors have small hashes, so ranges are those of the hashes mixed once more
+                keys = mix64(np.array([x["h"] for x in at], np.int64).view(np.uint64)).tolist()
+                for x, key in zip(at, keys, strict=True):
+                    pos = x["pos"]
                     suffix, before = data[pos : pos + length], data[max(0, pos - (length - K)) : pos][::-1]
                     held.append((key.to_bytes(KEY, "big") + suffix, before, x["h"], x["c"], len(suffix)))
                     size += len(suffix) + len(before)
-            if size > 48_000_000:
+            if size > RUN_BYTES:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
     bounded_batches(heads.sparkSession)
-    return heads.select("data", "at").mapInArrow(run, "range int, h array<long>, c array<long>, l array<int>, r array<int>, lefts binary, run binary")
+    return heads.select("data", "at").mapInArrow(run, "range int, h array<long>, c array<long>, l array<int>, r array<int>, run binary, left_run binary, left_at array<int>")
 
 
 def merge_range(group: pa.Table, length: int) -> pa.Table:
     """h, c, low, high of the classes of one key range that share a window with another class."""
-    runs = [front_decode(x) for x in group.column("run").to_pylist()]
-    order, prefixes = merge_runs(runs)
     flat = lambda name: np.concatenate([np.array(x, np.int64) for x in group.column(name).to_pylist()])
     h, c, l, r = (flat(x) for x in ("h", "c", "l", "r"))  # noqa: E741
-    first = np.concatenate(([0], np.cumsum([len(x[0]) for x in runs])))
-    right = np.array(prefixes, np.int64), np.array([first[a] + b for a, b in order], np.int64)
-    lefts, strings, at = b"".join(group.column("lefts").to_pylist()), [], 0
-    for key, n in zip(h.tolist(), l.tolist(), strict=True):
-        strings.append((key & 0xFFFFFFFFFFFFFFFF).to_bytes(KEY, "big") + lefts[at : at + n])
-        at += n
-    low, high = doubled_offsets(right, _sorted_with_prefixes(strings), l, r, length)
+    first = np.cumsum([0, *(len(x) for x in group.column("h"))])
+
+    def side(column: str, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Common prefixes and order of all runs of the column; at: the suffix of each string of a run."""
+        order, prefixes = merge_runs([front_decode(x) for x in group.column(column).to_pylist()])
+        return np.array(prefixes, np.int64), np.array([at[a][b] for a, b in order], np.int64)
+
+    right = side("run", [np.arange(a, b) for a, b in zip(first, first[1:], strict=False)])
+    left = side("left_run", [a + np.array(x) for a, x in zip(first, group.column("left_at").to_pylist(), strict=False)])
+    low, high = doubled_offsets(right, left, l, r, length)
     hit = np.flatnonzero(low >= 0)
     return pa.table({"h": h[hit], "c": c[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
 
@@ -295,7 +297,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         listed = heads.groupBy("row").agg(F.collect_list(F.struct("h", "c", "pos")).alias("at"))
         return docs.join(listed, "row")
 
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-mixed.count() // RANGE_SUFFIXES))
     some_hot = not hot.isEmpty()
     runs = sorted_runs(with_text(mixed.join(hot, "h", "left_anti") if some_hot else mixed), length, ranges)
     matched = runs.groupBy("range").applyInArrow(lambda group: merge_range(group, length), "h long, c long, low int, high int")
@@ -306,7 +308,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = classes.filter("n = 1 and mixed").select("h", "c", F.col("head.row").alias("row"), F.col("head.pos").alias("pos"))
     places = known.select("h", "c", "row", "pos").join(several, ["h", "c"]).unionByName(alone.join(matched, ["h", "c"]))
     spans = places.select("row", F.struct((F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + length).alias("b")).alias("span"))
-    return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
+    out = materialise(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
+    release(shared, known, classes, hot)
+    return out
 
 
 def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:

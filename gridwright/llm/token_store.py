@@ -169,9 +169,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
         return each
 
-    out = map_batches(shards.select("part", "ids_before", "doc_ids", "record"), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", make)
-    bounded_batches(spark)
-    return out
+    return map_batches(shards.select("part", "ids_before", "doc_ids", "record"), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", make)
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,6 +374,8 @@ def brute_repeats(rows, n):
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
+    monkeypatch.setattr(suffix_dedup, "RANGE_SUFFIXES", 40 if hot > 1 else 16_384)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 6000)
     r = random.Random(4)
     shared = words("shared", 60)
     rows = texts_of(docs)
