@@ -66,11 +66,11 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 8) -> DataFrame:
-    """left joined to right, a table of one row a key that is much the smaller: a hot key's rows are dealt to several tasks."""
+def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined to right, a table of one row a key: the rows of a hot key, nulls included, are dealt to several tasks."""
     dealt = left.withColumn("_gw_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_gw_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [on, "_gw_salt"]).drop("_gw_salt")
+    return dealt.join(copies, [*([on] if isinstance(on, str) else on), "_gw_salt"], how).drop("_gw_salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

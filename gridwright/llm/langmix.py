@@ -7,7 +7,8 @@ largest share.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no shares, and so
 is every text where nothing could be learned; ties go to the first language in code-point order;
-rows without lang or doc_id teach nothing (doc_id) or are only predicted (lang).
+rows without lang or doc_id teach nothing and are only predicted; every lang value is learned; long
+texts count whole, in memory of the buckets; repeated rows count and are predicted each.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, read_table
 
+#: Buckets of the trigram hash; fewer where languages times buckets would pass MODEL_CELLS, so a model's size is bounded.
 BUCKETS = 1 << 16
+MODEL_CELLS = 1 << 24
 #: The trigram model is fitted on about so many documents of each language, picked by hash.
 SAMPLE_DOCS = 1500
-MAX_LANGUAGES = 256
 #: Penalty for each language of the set beyond the first, times log(number of trigrams).
 PENALTY = 4.0
 ROUNDS = 25
@@ -33,7 +35,12 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """A power of two, at least 1."""
+    return 1 << max(0, min(BUCKETS.bit_length(), (MODEL_CELLS // max(languages, 1)).bit_length()) - 1)
+
+
+def trigram_counts(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of the letter trigrams of a text, words padded with one space."""
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = (code >= 128) | ((code >= 97) & (code <= 122))
@@ -44,9 +51,9 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = (code[:-2] * np.uint32(0x9E3779B1) ^ code[1:-1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) + code[2:] * np.uint32(0x27D4EB2F)
         h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    h = (h >> np.uint32(16))[code[1:-1] != 32]
-    if len(h) > BUCKETS:
-        n = np.bincount(h, minlength=BUCKETS)
+    h = (h >> np.uint32(16))[code[1:-1] != 32] & np.uint32(buckets - 1)
+    if len(h) > buckets:
+        n = np.bincount(h, minlength=buckets)
         kinds = np.flatnonzero(n)
         return kinds, n[kinds].astype(float)
     kinds, n = np.unique(h, return_counts=True)
@@ -104,7 +111,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float, list[dict]]:
         if not self.languages or not has_letter(text):
             return "und", 0.0, []
-        kinds, n = trigram_counts(text)
+        kinds, n = trigram_counts(text, self.p.shape[1])
         if not len(kinds):
             kinds, n = np.zeros(1, np.int64), np.ones(1)
         p = self.p[:, kinds].astype(float)
@@ -120,10 +127,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Trigram counts by language from rows outside the held-out fold; counting runs on the executors."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(3, 1))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS)))
+    buckets = buckets_for(len(languages))
     most = F.lit(0)
     for lang, n in sizes.items():
         most = F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, sample_docs / n)))).otherwise(most)
@@ -133,8 +141,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sums: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                kinds, n = trigram_counts(text)
-                sums.setdefault(lang, np.zeros(BUCKETS))[kinds] += n
+                kinds, n = trigram_counts(text, buckets)
+                sums.setdefault(lang, np.zeros(buckets))[kinds] += n
             names, kinds, counts = [], [], []
             for lang, total in sums.items():
                 at = np.flatnonzero(total)
@@ -145,8 +153,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
 
         return each
 
-    rows = map_batches(sample, "lang string, bucket int, n double", make).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    counts = np.zeros((len(languages), BUCKETS))
+    rows = map_batches(sample, "lang string, bucket int, n double", make).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most MODEL_CELLS rows, however many languages
+    counts = np.zeros((len(languages), buckets))
     counts[np.searchsorted(languages, rows["lang"].to_numpy(str)), rows["bucket"].to_numpy(np.int64)] = rows["n"]
     return LanguageModel(languages, counts)
 
@@ -156,7 +164,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     made = [x.split()[0] for x in SCHEMA.split(", ")]
     keep = [c for c in docs.columns if c.lower() not in made]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))  # BUCKETS floats a language
+    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))  # MODEL_CELLS floats at most
     shares_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def make():

@@ -1,11 +1,14 @@
 """Media columns: ISO base media containers in a binary column.
 
 ``encode_media`` stores payloads as 8-bit PCM access units of 64 bytes; ``probe_media`` walks the
-nested boxes of any ISO container and decodes its sample tables into codec, duration and keyframe
-byte ranges without touching ``mdat``; ``read_payload`` follows the tables to the stored bytes.
+nested boxes of a container and decodes its first track's sample tables into codec, duration and keyframe
+byte ranges without touching ``mdat``; ``read_payload`` follows the tables to the stored bytes. Sizes come
+from ``stsz`` or ``stz2``; samples of fragments (``moof``) and edit lists are not read.
 
 Defined results: a null text is an empty one; an empty payload is one unit of zeros; bytes that are
-no container give nulls and ``error``; long texts get 64-bit chunk offsets only past 4 GiB.
+no container, and tables that contradict one another or claim more than the file holds, give nulls and
+``error``; long texts get 64-bit chunk offsets only past 4 GiB; repeated rows are encoded each; other
+columns, also of PROBE_SCHEMA's names, are passed by or replaced; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import map_batches
 UNIT = 64
 UNITS_PER_CHUNK = 16
 SYNC_EVERY = 16
+#: Boxes nested deeper than this are no container.
+DEPTH = 32
 RATE = 8000
 
 #: Box types that hold other boxes (fixed values of ISO/IEC 14496-12).
@@ -98,6 +103,8 @@ def walk_boxes(data: memoryview, start: int = 0, end: int | None = None, path: t
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} does not fit")
+        if len(path) >= DEPTH:
+            raise ValueError("boxes are nested too deeply")
         yield (*path, kind), start + head, start + size
         if kind in CONTAINERS:
             yield from walk_boxes(data, start + head, start + size, (*path, kind))
@@ -112,10 +119,10 @@ def _table(data: memoryview, at: int, kind: str, columns: int = 1) -> np.ndarray
 
 def sample_tables(container: bytes) -> list[dict]:
     """One dict for each track: codec, handler, timescale, duration, sample offsets and sizes, sync samples."""
-    data = memoryview(container)
+    whole = memoryview(container)
     tracks: list[dict] = []
-    for path, at, _end in walk_boxes(data):
-        kind = path[-1]
+    for path, at, end in walk_boxes(whole):
+        kind, data = path[-1], whole[:end]  # no table reaches past its box
         if kind == b"trak":
             tracks.append({})
         if len(path) < 3 or path[1] != b"trak":
@@ -140,14 +147,29 @@ def sample_tables(container: bytes) -> list[dict]:
             t["chunks"] = _table(data, at, ">u8")
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, at + 4)
+            if size * n > len(whole):
+                raise ValueError("more samples than bytes")
             t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+        elif kind == b"stz2":
+            width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+            if width == 4:
+                pairs = np.frombuffer(data, np.uint8, -(-n // 2), at + 12).astype(np.int64)
+                t["sizes"] = np.column_stack((pairs >> 4, pairs & 15)).ravel()[:n]
+            elif width in (8, 16):
+                t["sizes"] = np.frombuffer(data, f">u{width // 8}", n, at + 12).astype(np.int64)
+            else:
+                raise ValueError("unknown field size")
     for t in tracks:
         sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
         firsts = np.append(runs[:, 0] - 1, len(chunks))
-        of_chunk = np.repeat(np.repeat(runs[:, 1], np.diff(firsts)), 1)
-        chunk = np.repeat(np.arange(len(chunks)), of_chunk)
-        if len(chunk) != len(sizes):
+        if len(chunks) and (not len(runs) or firsts[0] or (np.diff(firsts) < 0).any()):
+            raise ValueError("chunk runs are out of order")
+        of_chunk = np.repeat(runs[:, 1], np.diff(firsts)) if len(chunks) else np.zeros(0, np.int64)
+        if sum(of_chunk.tolist()) != len(sizes):
             raise ValueError("chunk and size tables disagree")
+        if len(sizes) and (chunks.min() < 0 or ("sync" in t and len(t["sync"]) and (t["sync"].min() < 0 or t["sync"].max() >= len(sizes)))):
+            raise ValueError("an entry is out of range")
+        chunk = np.repeat(np.arange(len(chunks)), of_chunk)
         before = np.cumsum(sizes) - sizes
         first_sample = np.cumsum(of_chunk) - of_chunk
         t["offsets"] = chunks[chunk] + before - before[first_sample[chunk]] if len(sizes) else sizes

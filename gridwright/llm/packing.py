@@ -8,7 +8,7 @@ plan, as runs of equal bins, then gives every piece its place by its rank within
 
 Defined results: null and empty texts are one id (the end id); longer documents are cut into pieces
 of the capacity, the first piece taking the remainder; equal rows are separate documents; an empty
-table gives no rows.
+table gives no rows; other columns, of any name, are not read.
 """
 
 from __future__ import annotations

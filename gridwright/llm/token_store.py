@@ -6,7 +6,9 @@ high bits unary, and the place of every 64th set bit for ``select``). Shards are
 ascending doc_id order by Spark's own committer, so a lost executor only repeats its shards.
 
 Defined results: null and empty texts give one id, the end id; documents with equal doc_id stand in
-the order of their texts; a null doc_id comes first; an empty table gives a store without shards.
+the order of their texts; a null doc_id comes first; an empty table gives a store without shards; other
+columns, of any name, are not read; a very long text is a shard of its own. The query reads each document's
+place by ``select``.
 """
 
 from __future__ import annotations
@@ -116,14 +118,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, partitions: int | No
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer)
         held, names, count, before, k = [], [], 0, 0, 0
 
         def record() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.array([count], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([pack_shard(held)], pa.binary())], ["part", "shard", "ids_before", "n_ids", "doc_ids", "record"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.array([count], pa.int64()), pa.array([names], pa.list_(batch.schema.field("doc_id").type)), pa.array([pack_shard(held)], pa.binary())], ["part", "shard", "ids_before", "n_ids", "doc_ids", "record"])
 
         for batch in batches:
             for name, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist()), strict=True):
@@ -159,7 +160,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for part, before, names, record in zip(*(batch.column(c).to_pylist() for c in ("part", "ids_before", "doc_ids", "record")), strict=True):
                 shard = Shard(record)
-                ends = shard.ends.decode()
+                ends = np.array([shard.ends.select(i) for i in range(len(shard))])
                 starts = np.concatenate(([0], ends[:-1]))
                 out[0] += names
                 out[1] += (base[part] + before + starts).tolist()

@@ -7,7 +7,9 @@ pruned. Pages meet rules by an inverted index on each rule's rarest token. A sho
 rules (host and path prefix) decides first.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no token and the
-verdict ``allow``; equal urls have equal verdicts; of written rules that fit, the longest wins.
+verdict ``allow``; equal urls have equal verdicts; of written rules that fit, the longest wins; of mined
+rules, the surest, then the last in token order; repeated page_ids are judged each; long urls whole; other
+columns, of any name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, salted_join
 
 LABEL = "=block"
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
-#: Fewer labelled pages than this support no rule, however small the table.
-MIN_PAGES = 20
+#: A rule needs this share of the labelled pages, and so many pages (all of them where there are fewer).
+MIN_SUPPORT, MIN_PAGES = 0.002, 10
+MIN_CONFIDENCE = 0.5
 #: Mined rules are broadcast up to so many, else joined by a shuffle.
 BROADCAST_RULES = 100_000
 #: (action, rule), a rule being host and path prefix.
@@ -64,16 +66,16 @@ def written_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, antecedent, confidence, support, lift of token sets that go with low quality or toxicity.
 
-    pages: id and url; labels: the same id and a boolean `block`. Equal urls count once each."""
+    pages: id and url; labels: the same id and a boolean `block`. Labelled rows count, equal urls included."""
     spark = pages.sparkSession
     items = (pages.join(labels, "id").select(F.col("url"), F.col("block"))
         .select(F.concat(url_tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
         .filter(F.size("items") > 0))
     empty = "antecedent array<string>, confidence double, support double, lift double"
     n = items.count()
-    if n < MIN_PAGES:
+    if not n:
         return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / n), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_PAGES / n)), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
     rules = model.associationRules.filter(F.array_contains("consequent", LABEL)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
     rules = materialise(rules, "url-rules")
     shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
@@ -100,7 +102,8 @@ def judge(pages: DataFrame, mined: DataFrame, written: list[tuple[str, str]] = W
         .join(index, "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
         .groupBy("url").agg(F.max(F.struct("confidence", "antecedent")).alias("best")))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    return (pages.select("page_id", "url").join(hits, "url", "left")
+    # null urls and a popular url have many rows
+    return (salted_join(pages.select("page_id", "url"), hits, "url", "left")
         .select("page_id", "best", host.alias("host"), path.alias("path"))
         .withColumn("w", written_rule(F.col("host"), F.col("path"), written))
         .select("page_id", "host", "path", F.col("w.rule").alias("rule"),

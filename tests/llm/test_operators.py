@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, and on awkward tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -450,3 +451,97 @@ def test_url_rules(spark):
     assert all(got[100 + i][3] == ("block" if i % 2 else "allow") for i in range(80))
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge(none, url_rules.mine_rules(none.withColumnRenamed("page_id", "id"), marks)).count() == 0
+
+
+def test_mined_rules_equal_enumeration(spark):
+    """All token sets by brute force: support, confidence and the pruning of needless ones; a planted pair decides."""
+    r = random.Random(12)
+    rows = []
+    for i in range(1500):
+        segments = [s for s in ("shop", "win", "news", "blog") if r.random() < 0.5]
+        bad = r.random() < (0.95 if {"shop", "win"} <= set(segments) else 0.15)
+        rows.append((i, f"http://{r.choice(['a', 'b'])}.com/" + "/".join(segments), bad))
+    rows += [(1500 + i, rows[i][1], rows[i][2]) for i in range(40)]
+    pages, labels = spark.createDataFrame([x[:2] for x in rows], "id long, url string"), spark.createDataFrame([(i, b) for i, _, b in rows], "id long, block boolean")
+    got = {tuple(x.antecedent): round(x.confidence, 9) for x in url_rules.mine_rules(pages, labels, 0.02, 0.5).collect()}
+    sets = []
+    for _, url, bad in rows:
+        host, *path = url[len("http://"):].split("/")
+        sets.append(({f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in path if x}, bad))
+    tokens, rules = sorted(set().union(*(s for s, _ in sets))), {}
+    for k in range(1, len(tokens) + 1):
+        for chosen in itertools.combinations(tokens, k):
+            marks = [bad for s, bad in sets if s.issuperset(chosen)]
+            if marks and sum(marks) >= 0.02 * len(sets) and sum(marks) >= 0.5 * len(marks):
+                rules[chosen] = sum(marks) / len(marks)
+    want = {a: round(c, 9) for a, c in rules.items() if not any(rules.get(tuple(x for x in a if x != y), -1) >= c for y in a)}
+    assert got == want and ("p:shop", "p:win") in got
+    judged = {x.page_id: x.verdict for x in url_rules.judge(pages.withColumnRenamed("id", "page_id"), url_rules.mine_rules(pages, labels, 0.02, 0.8), []).collect()}
+    assert all(judged[i] == ("block" if "/shop/win" in url else "allow") for i, url, _ in rows)
+
+
+def test_few_pages_are_mined_too(spark):
+    pages = spark.createDataFrame([(i, f"http://x.com/{'bad' if i < 3 else 'good'}") for i in range(3)], "id long, url string")
+    mined = url_rules.mine_rules(pages, spark.createDataFrame([(i, True) for i in range(3)], "id long, block boolean"))
+    assert {tuple(r.antecedent) for r in mined.collect()} == {("h:com",), ("h:x",), ("p:bad",)}
+
+
+def test_mixtures_equal_an_exhaustive_search():
+    """Every set of languages by plain expectation maximisation to convergence; the chosen set has the best penalised likelihood."""
+    r = np.random.default_rng(4)
+    p = r.dirichlet(np.full(40, 0.3), 4) * 0.99 + 0.01 / 40
+
+    def plain(rows, n):
+        share = np.full(len(rows), 1 / len(rows))
+        for _ in range(3000):
+            share = share * (rows @ (n / (share @ rows))) / n.sum()
+        return float(n @ np.log(share @ rows)), share
+
+    for _ in range(25):
+        truth = r.dirichlet(np.full(4, 0.4))
+        n = r.multinomial(400, truth @ p).astype(float)
+        seen = n > 0
+        cost = langmix.PENALTY * np.log(n.sum() + 1)
+        found = {s: plain(p[list(s)][:, seen], n[seen]) for k in range(1, 5) for s in itertools.combinations(range(4), k)}
+        best = max(found, key=lambda s: found[s][0] - cost * (len(s) - 1))
+        got = langmix.infer_mixture(p[:, seen], n[seen])
+        chosen = tuple(np.flatnonzero(got).tolist())
+        assert found[chosen][0] - cost * (len(chosen) - 1) >= found[best][0] - cost * (len(best) - 1) - 0.5
+        if chosen == best:
+            assert np.abs(got[list(best)] - found[best][1]).max() < 0.02
+
+
+def test_buckets_bound_the_model():
+    assert langmix.buckets_for(4) == langmix.BUCKETS and all(n * langmix.buckets_for(n) <= max(n, langmix.MODEL_CELLS) for n in (1, 256, 257, 5000, 10**6))
+    kinds, n = langmix.trigram_counts("many words of some text here", 64)
+    assert kinds.max() < 64 and n.sum() == langmix.trigram_counts("many words of some text here")[1].sum()
+
+
+def test_forged_containers(spark, empty):
+    """Tables that claim what the file cannot hold, deep nesting and entries out of range give an error, no crash."""
+    good = media.build_container(media.pad_payload(bytes(5000)))
+    at = {k: good.index(k) + 4 for k in (b"stsz", b"stss", b"stsc", b"stco")}
+    put = lambda k, skip, value: good[: at[k] + skip] + value.to_bytes(4, "big") + good[at[k] + skip + 4 :]
+    forged = [put(b"stsz", 8, 2**32 - 1), put(b"stsz", 4, 0), put(b"stss", 8, 0), put(b"stss", 8, 10**6), put(b"stsc", 12, 2**32 - 1), put(b"stsc", 8, 7), put(b"stco", 4, 2**31)]
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    rows = media.probe_media(spark.createDataFrame(list(enumerate([*forged, nested, good[:60]])), "doc_id long, media binary")).collect()
+    assert all(r.error and r.codec is None for r in rows)
+    assert media.media_digests(media.encode_media(empty)).count() == 0
+    compact = media.full_box(b"stz2", bytes(3), b"\4", (3).to_bytes(4, "big"), b"\x12\x30")
+    body = b"".join((media.full_box(b"stsc", (1).to_bytes(4, "big"), (1).to_bytes(4, "big"), (3).to_bytes(4, "big"), (1).to_bytes(4, "big")), compact, media.full_box(b"stco", (1).to_bytes(4, "big"), (40).to_bytes(4, "big"))))
+    track = media.sample_tables(media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", body))))))[0]
+    assert track["sizes"].tolist() == [1, 2, 3] and track["offsets"].tolist() == [40, 41, 43]
+
+
+def test_templates_of_one_leaf(spark):
+    """Two kinds of lines with the same length and opening become two templates; short lines with a common opening stay."""
+    rows, kept = [], []
+    for i in range(24):
+        own = [words(f"p{i}{k}", 9) for k in range(3)]
+        a, b = f"see also the {words(i, 1)} page of our great archive", f"see also the other {words(i + 100, 1)} story in a book"
+        rows.append((i, "\n".join([own[0], a, own[1], b, own[2], f"He said that {words(i + 200, 1)}"])))
+        kept.append("\n".join([*own, rows[-1][1].split("\n")[-1]]))
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(24)] == kept
