@@ -63,7 +63,7 @@ def vegetation_mask(value: Column) -> Column:
 def unavailable(cells: DataFrame, elevation: str = "elevation", value: str = "value", nodata: int = 65535) -> DataFrame:
     """Cells without a height or with the class nodata, in order."""
     off = F.col(elevation).isNull() | F.isnan(elevation) | F.coalesce(F.col(value) == nodata, F.lit(True))
-    return cells.filter(off).select("row", "col")
+    return cells.filter(off).select("row", "col").orderBy("row", "col")
 
 
 def mosaic(tiles: DataFrame, nodata: float = -32767.0) -> DataFrame:

@@ -105,7 +105,7 @@ def tile_inventory(ids: DataFrame, page_size: int) -> DataFrame:
 
 
 def strip_private(document, private: list[str] = PRIVATE_KEYS):
-    """A JSON document (string column) without private keys at any depth, by a vectorised function."""
+    """A JSON document (string column) without private keys at any depth, by a vectorised function; null for text that is no JSON."""
     gone = set(private)
 
     def clean(x):
@@ -113,9 +113,15 @@ def strip_private(document, private: list[str] = PRIVATE_KEYS):
             return {k: clean(v) for k, v in x.items() if k not in gone}
         return [clean(v) for v in x] if isinstance(x, list) else x
 
+    def one(text: str) -> str | None:
+        try:
+            return json.dumps(clean(json.loads(text)), separators=(",", ":"))
+        except ValueError:
+            return None
+
     @F.pandas_udf("string")
     def strip(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json.dumps(clean(json.loads(t)), separators=(",", ":")), na_action="ignore")
+        return texts.map(one, na_action="ignore")
 
     return strip(document)
 

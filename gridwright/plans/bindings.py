@@ -59,24 +59,16 @@ def routes(spark: SparkSession) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def segments(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """id, seq, x1, y1, x2, y2: the events of each user as one line, x from value, y from the order; most: only so many first points.
-
-    The SQL of the queries over lines has `i < 12`; without `most` every event takes part."""
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, seq, x1, y1, x2, y2: all events of each user as one line, x from value, y from the order."""
     e = table(spark, sf_dir, "events").filter("value is not null").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
     w = Window.partitionBy("user_id").orderBy("event_id", "v")
     ranked = e.withColumn("i", F.row_number().over(w) - 1)
-    if most is not None:
-        ranked = ranked.filter(F.col("i") < most)
     points = ranked.select(F.col("user_id").alias("id"), "i", (F.col("v") % 1200).cast("double").alias("x"), ((F.col("i").cast("long") * 97 + F.col("user_id") * 13) % 1200).cast("double").alias("y"))
     on = Window.partitionBy("id").orderBy("i")
     return points.select("id", F.col("i").alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(on).alias("x2"), F.lead("y").over(on).alias("y2")).filter("x2 is not null")
 
 
-#: Points of a line in LINES.
-SQL_POINTS = 12
-
-
 CELLS = f"""agg AS (
   SELECT (l_orderkey % {N})::INT AS row, (l_partkey % {N})::INT AS col, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS q,
     sum(round(l_discount * 100)::BIGINT)::BIGINT AS d, sum(round(l_tax * 100)::BIGINT)::BIGINT AS t,
@@ -125,7 +117,7 @@ DISTANCES = f"""WITH RECURSIVE {SURFACE}, {EDGES}, dist(row, col, distance) USIN
 LINES = """ordered AS (
   SELECT user_id, event_id, round(value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id, round(value * 100)::BIGINT) - 1 AS i FROM events WHERE value IS NOT NULL
 ), points AS (
-  SELECT user_id AS id, i, (v % 1200)::DOUBLE AS x, ((i * 97 + user_id * 13) % 1200)::DOUBLE AS y FROM ordered WHERE i < 12
+  SELECT user_id AS id, i, (v % 1200)::DOUBLE AS x, ((i * 97 + user_id * 13) % 1200)::DOUBLE AS y FROM ordered
 ), segments AS (
   SELECT id, i AS seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY id ORDER BY i) QUALIFY lead(x) OVER w IS NOT NULL
 )"""

@@ -83,7 +83,7 @@ def bbox_union(spark, sf_dir):
 
 @R.query(f"WITH {b.LINES} SELECT id, seq, x1, y1, x2, y2 FROM segments")
 def polyline_segments(spark, sf_dir):
-    return b.segments(spark, sf_dir, b.SQL_POINTS).select("id", F.col("seq").cast("long").alias("seq"), "x1", "y1", "x2", "y2")
+    return b.segments(spark, sf_dir).select("id", F.col("seq").cast("long").alias("seq"), "x1", "y1", "x2", "y2")
 
 
 def _route_segments(spark):
@@ -94,12 +94,12 @@ def _route_segments(spark):
 
 @R.query(f"WITH {b.LINES}, {b.ROUTES}, rs AS (SELECT preset, (col + 0.5) * 50 AS px, 1200 - (row + 0.5) * 50 AS py, lead((col + 0.5) * 50) OVER w AS qx, lead(1200 - (row + 0.5) * 50) OVER w AS qy FROM routes WINDOW w AS (PARTITION BY preset ORDER BY step)) SELECT DISTINCT preset, id FROM (FROM rs WHERE qx IS NOT NULL) r, segments s WHERE {b.meet('px,py', 'qx,qy', 'x1,y1', 'x2,y2')}")
 def route_feature_intersect(spark, sf_dir):
-    return vector.intersecting(_route_segments(spark), b.segments(spark, sf_dir, b.SQL_POINTS), 150.0)
+    return vector.intersecting(_route_segments(spark), b.segments(spark, sf_dir), 150.0)
 
 
 @R.query(f"WITH {b.LINES}, p AS (SELECT DISTINCT s.id FROM segments s JOIN (SELECT id, seq, x1 AS u1, y1 AS v1, x2 AS u2, y2 AS v2 FROM segments) t ON s.id = t.id AND t.seq > s.seq + 1 WHERE {b.meet('x1,y1', 'x2,y2', 'u1,v1', 'u2,v2')}) SELECT DISTINCT id, id NOT IN (FROM p) AS simple FROM segments")
 def line_is_simple(spark, sf_dir):
-    s = b.segments(spark, sf_dir, b.SQL_POINTS)
+    s = b.segments(spark, sf_dir)
     crossed = vector.crossings_of_itself(s, "id", 150.0).select("id").distinct().withColumn("c", F.lit(True))
     return s.select("id").distinct().join(crossed, "id", "left").select("id", F.col("c").isNull().alias("simple"))
 

@@ -10,6 +10,7 @@ from ..functions.scalar import clamp_unit
 from ..operators import cost, grid, routing
 from ..operators.checks import outside_domain
 from . import bindings as b
+from . import sql_geo
 from .registry import Registry
 
 R = Registry()
@@ -115,26 +116,29 @@ def class_domain_check(spark, sf_dir):
     return outside_domain(b.cells(spark, sf_dir), b.table(spark, sf_dir, "nation").filter("n_nationkey < 9").select(F.col("n_nationkey").alias("value")))
 
 
-@R.query("SELECT 990 AS cols, 767 AS rows, 759330 AS cells")
+_CORNERS = "corners AS (SELECT 0 AS id, lon, lat FROM (VALUES (150.82), (151.62)) a(lon), (VALUES (-33.15), (-32.27)) b(lat))"
+
+
+@R.query(f"""WITH {_CORNERS}, {sql_geo.transverse_mercator('corners')}, f AS (SELECT floor(min(x) / 100) AS w, floor(min(y) / 100) AS s, ceil(max(x) / 100) AS e, ceil(max(y) / 100) AS n FROM tm)
+SELECT (n - s)::INT AS rows, (e - w)::INT AS cols, ((n - s) * (e - w))::INT AS cells, w * 100 AS west, n * 100 AS north FROM f""")
 def grid_generate(spark, sf_dir):
-    """The study area's grid; its size is published."""
+    """The study area's grid of 100 m cells: 990 rows, 767 columns."""
     frame = grid.grid_frame(spark, envelope(spark), 100.0, TM)
     n = grid.all_cells(frame).agg(F.count("*").cast("int").alias("cells"))
-    # the envelope runs east 990 and north 767 cells
-    return frame.select(F.greatest("rows", "cols").alias("cols"), F.least("rows", "cols").alias("rows")).crossJoin(n)
+    return frame.select("rows", "cols", F.col("x1").cast("double").alias("west"), F.col("y2").cast("double").alias("north")).crossJoin(n)  # one row each
 
 
 _TX, _TY = TM.forward_sql("lon", "lat")
 _LX, _LY = LCC.forward_sql("lon", "lat")
 
 
-@R.query(f"SELECT id, round({_TX}, 3) AS x, round({_TY}, 3) AS y FROM ({PLACES})")
+@R.query(f"WITH places AS ({PLACES}), {sql_geo.transverse_mercator('places')} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM tm")
 def project_tm(spark, sf_dir):
     x, y = columns((_TX, _TY))
     return places(spark, sf_dir).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@R.query(f"SELECT id, round({_LX}, 3) AS x, round({_LY}, 3) AS y FROM ({PLACES})")
+@R.query(f"WITH places AS ({PLACES}), {sql_geo.lambert_conic('places')} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM lcc")
 def project_lcc(spark, sf_dir):
     x, y = columns((_LX, _LY))
     return places(spark, sf_dir).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
@@ -143,14 +147,14 @@ def project_lcc(spark, sf_dir):
 WEST, NORTH = 290_000.0, 6_430_000.0
 
 
-@R.query(f"SELECT id, floor(({NORTH} - {_TY}) / 100)::INT AS row, floor(({_TX} - {WEST}) / 100)::INT AS col FROM ({PLACES})")
+@R.query(f"WITH places AS ({PLACES}), {sql_geo.transverse_mercator('places')} SELECT id, floor(({NORTH} - y) / 100)::INT AS row, floor((x - {WEST}) / 100)::INT AS col FROM tm")
 def endpoint_cell(spark, sf_dir):
     x, y = columns((_TX, _TY))
     row, col = grid.cell_of(x, y, WEST, NORTH, 100.0)
     return places(spark, sf_dir).select("id", row.alias("row"), col.alias("col"))
 
 
-@R.query(f"WITH p AS (SELECT id, {_TX} AS x, {_TY} AS y FROM ({PLACES})) SELECT id, round(sqrt(power(x - ({WEST} + (floor((x - {WEST}) / 100) + 0.5) * 100), 2) + power(y - ({NORTH} - (floor(({NORTH} - y) / 100) + 0.5) * 100), 2)), 3) AS offset_m FROM p")
+@R.query(f"WITH places AS ({PLACES}), {sql_geo.transverse_mercator('places')} SELECT id, round(sqrt(power((x - {WEST}) - 100 * floor((x - {WEST}) / 100) - 50, 2) + power(({NORTH} - y) - 100 * floor(({NORTH} - y) / 100) - 50, 2)), 3) AS offset_m FROM tm")
 def snap_offset(spark, sf_dir):
     x, y = columns((_TX, _TY))
     p = places(spark, sf_dir).select("id", x.alias("x"), y.alias("y"))
@@ -167,7 +171,7 @@ def cell_centre(spark, sf_dir):
 _LON, _LAT = TM.inverse_sql("x", "y")
 
 
-@R.query(f"WITH {b.ROUTES}, c AS (SELECT preset, step, {WEST} + (col + 0.5) * 100 AS x, {NORTH} - (row + 0.5) * 100 AS y FROM routes) SELECT preset, step, round({_LON}, 7) AS lon, round({_LAT}, 7) AS lat FROM c")
+@R.query(f"WITH {b.ROUTES}, c AS (SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM routes), {sql_geo.inverse_transverse_mercator('c')} SELECT preset, step, round(lon, 7) AS lon, round(lat, 7) AS lat FROM lonlat")
 def cell_lonlat(spark, sf_dir):
     lon, lat = columns((_LON, _LAT))
     return cell_centre(spark, sf_dir).select("preset", "step", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
@@ -214,7 +218,7 @@ def raster_window_nearest(spark, sf_dir):
 s AS (SELECT row, col, list_transform([[bx1, by1], [bx1, by2], [bx2, by1], [bx2, by2]], lambda p: (x2 - x1) * (p[2] - y1) - (y2 - y1) * (p[1] - x1)) AS k FROM boxes)
 SELECT DISTINCT row, col FROM s WHERE list_min(k) <= 0 AND list_max(k) >= 0""")
 def rasterize_all_touched(spark, sf_dir):
-    return grid.burn(b.segments(spark, sf_dir, b.SQL_POINTS), 0.0, 1200.0, 60.0, 20, 20)
+    return grid.burn(b.segments(spark, sf_dir), 0.0, 1200.0, 60.0, 20, 20)
 
 
 @R.query(f"WITH {b.WIDE} SELECT row, col, closed, " + ", ".join(f"round({c}, 6) AS {c}" for c in cost.COMPONENTS) + " FROM wide")
