@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import acquisition, assessment, features, surfaces
+from . import acquiring, acquisition, assessment, features, impacts, surfaces
 
-QUERIES = surfaces.QUERIES | assessment.QUERIES | acquisition.QUERIES | features.QUERIES
-ORACLE_SQL = surfaces.ORACLE_SQL | assessment.ORACLE_SQL | acquisition.ORACLE_SQL | features.ORACLE_SQL
+QUERIES = surfaces.QUERIES | assessment.QUERIES | acquisition.QUERIES | features.QUERIES | acquiring.QUERIES | impacts.QUERIES
+ORACLE_SQL = surfaces.ORACLE_SQL | assessment.ORACLE_SQL | acquisition.ORACLE_SQL | features.ORACLE_SQL | acquiring.ORACLE_SQL | impacts.ORACLE_SQL
