@@ -194,7 +194,7 @@ def tile_distances(cells: DataFrame, start: tuple[int, int], tile: int = 256, at
             yield pd.DataFrame({"tr": frame["tr"], "tc": frame["tc"], "cells": frame["cells"], "dist": dists, "border": borders})
 
     spark = cells.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))  # tiles are long rows; the same bound for all stages
     for _ in range(at_most):
         sent = news.groupBy("tr", "tc").agg(F.collect_list(F.struct("row", "col", "d")).alias("news"))
         tiles = tiles.join(sent, ["tr", "tc"], "left").mapInPandas(solve, kind).checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -44,6 +45,43 @@ def read_members(spark: SparkSession, path: str, most: int = 10_000) -> DataFram
     return x.select("path", "name", "size", "crc", member_kind(F.col("name")).alias("kind"), (member_unsafe(F.col("name")) | F.col("link")).alias("unsafe"), "intact")
 
 
+def one_member(names: list[str], suffix: str) -> str:
+    """The only member with the suffix; none or several are an error."""
+    found = [n for n in names if n.lower().endswith(suffix.lower())]
+    if len(found) != 1:
+        raise ValueError(f"expected exactly one member {suffix}, found {len(found)}")
+    return found[0]
+
+
+def persistent_path(path: str, roots: list[str]) -> str:
+    """The path, if it lies under one of the roots and does not climb out of it."""
+    plain = posixpath.normpath(path)
+    if ".." in path.split("/") or not any(plain == r.rstrip("/") or plain.startswith(r.rstrip("/") + "/") for r in map(posixpath.normpath, roots)):
+        raise ValueError(f"{path} is under none of {roots}")
+    return plain
+
+
+def unpack(spark: SparkSession, path: str, members: list[str], most_bytes: int) -> DataFrame:
+    """path, name, content of the named members of every ZIP under the path, and of no others.
+
+    A member that is unsafe, missing or a link, and more than most_bytes from one archive, fail the read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    infos = [z.getinfo(m) for m in members]
+                    if any(".." in i.filename or i.filename.startswith("/") or i.external_attr >> 28 == 0xA for i in infos):
+                        raise ValueError(f"{name}: a member may not be unpacked")
+                    if sum(i.file_size for i in infos) > most_bytes:
+                        raise ValueError(f"{name}: more than {most_bytes} bytes")
+                    for i in infos:
+                        yield pd.DataFrame({"path": [name], "name": [i.filename], "content": [z.read(i)]})
+
+    return files.mapInPandas(each, "path string, name string, content binary")
+
+
 def parse_dbf(data: bytes) -> tuple[list[str], list[dict]]:
     """Fields and rows of a dBase table: deleted rows are left out, N and F are numbers, blanks null."""
     count, header, width = struct.unpack_from("<IHH", data, 4)
@@ -66,17 +104,19 @@ def parse_dbf(data: bytes) -> tuple[list[str], list[dict]]:
     return [f[0] for f in fields], rows
 
 
-def read_classes(spark: SparkSession, path: str, member: str, names: dict[str, str]) -> DataFrame:
+def read_classes(spark: SparkSession, path: str, member: str | None, names: dict[str, str]) -> DataFrame:
     """value and the named columns of the class table inside each ZIP under the path; of equal values the last row stays.
 
-    names: output column by field of the table."""
+    names: output column by field of the table. Without a member, the archive's only `.tif.vat.dbf` is read, and
+    an archive with none or several has no classes."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    _, rows = parse_dbf(z.read(member))
+                    named = [member] if member else [n for n in z.namelist() if n.lower().endswith(".tif.vat.dbf")]
+                    _, rows = parse_dbf(z.read(named[0])) if len(named) == 1 else ([], [])
                 rows = [(i, r["Value"], *(None if r.get(f) is None else str(r[f]) for f in names)) for i, r in enumerate(rows) if isinstance(r.get("Value"), int)]
                 yield pd.DataFrame(rows, columns=["seq", "value", *names.values()])
 
