@@ -30,7 +30,7 @@ def component_counts(route: DataFrame, layers: DataFrame) -> DataFrame:
 
 def weighted_exposure(sums: DataFrame, weights: DataFrame) -> DataFrame:
     """preset, component, exposure: sums x weights(preset, component, weight)."""
-    return sums.join(F.broadcast(weights), ["preset", "component"]).select("preset", "component", (F.col("total") * F.col("weight")).alias("exposure"))
+    return sums.join(weights, ["preset", "component"]).select("preset", "component", (F.col("total") * F.col("weight")).alias("exposure"))
 
 
 def slope_stats(route: DataFrame, cells: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def class_counts(route: DataFrame, raster: DataFrame, classes: DataFrame, nodata
 
     Values without a class stay, with a null name. Native classes are above 0 and not nodata."""
     counts = along(route, raster).groupBy("preset", "value").agg(F.count("*").alias("cells"))
-    return counts.join(F.broadcast(classes), "value", "left").select("preset", "value", "name", "cells", ((F.col("value") > 0) & (F.col("value") != nodata)).alias("native"))
+    return counts.join(classes, "value", "left").select("preset", "value", "name", "cells", ((F.col("value") > 0) & (F.col("value") != nodata)).alias("native"))
 
 
 def top_classes(counts: DataFrame, most: int = 6) -> DataFrame:
@@ -80,7 +80,7 @@ def baseline_deltas(exposure: DataFrame, baseline: str = "shortest") -> DataFram
     base = exposure.filter(F.col("preset") == baseline).select("component", F.col("exposure").alias("of_baseline"))
     keys = exposure.select("component").distinct()
     full = exposure.select("preset").distinct().crossJoin(F.broadcast(keys))  # presets x components, both short
-    return (full.join(exposure, ["preset", "component"], "left").join(F.broadcast(base), "component", "left")
+    return (full.join(exposure, ["preset", "component"], "left").join(base, "component", "left")
         .select("preset", "component", (F.coalesce("exposure", F.lit(0.0)) - F.coalesce("of_baseline", F.lit(0.0))).alias("delta")))
 
 

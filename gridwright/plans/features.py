@@ -78,7 +78,7 @@ def bbox_contains(spark, sf_dir):
 def bbox_union(spark, sf_dir):
     x, y = (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") % 45).cast("double")
     n = b.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
-    return b.table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("region").agg(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north"))
+    return b.table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("region").agg(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north"))
 
 
 @R.query(f"WITH {b.LINES} SELECT id, seq, x1, y1, x2, y2 FROM segments")
