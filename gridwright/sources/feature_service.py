@@ -15,7 +15,9 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Answers after which a request is tried again (fixed values).
@@ -143,5 +145,21 @@ class FeatureService(DataSource):
         return Reader({k.lower(): v for k, v in self.options.items()}, Client())
 
 
+_SYSTEM = "struct<wkid:int,latestWkid:int>"
+METADATA = f"id int, name string, geometryType string, spatialReference {_SYSTEM}, extent struct<spatialReference:{_SYSTEM}>, layers array<struct<id:int,name:string,geometryType:string>>"
+
+
+def service_metadata(urls: DataFrame, client: Client | None = None) -> DataFrame:
+    """url and METADATA of urls(url): what each service says of itself, asked in a task with the client's retries."""
+    ask = client or Client()
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"url": frame["url"], "body": [json.dumps(ask.fetch(url.rstrip("/"), {})) for url in frame["url"]]})
+
+    found = urls.select("url").mapInPandas(each, "url string, body string")
+    return found.select("url", F.from_json("body", METADATA, {"mode": "FAILFAST"}).alias("m")).select("url", "m.*")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeatureService)
