@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .divergence import ORACLE_SQL as OP13_SQL
+from .divergence import op13_divergence
 from .jaccard_join import op10_jaccard_join
 from .langmix import op5_langmix
 from .line_templates import ORACLE_SQL as OP6_SQL
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_templates": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_templates": OP6_SQL, "op13_divergence": OP13_SQL}
