@@ -15,6 +15,7 @@ from .suffix_dedup import op9_suffix_dedup
 from .token_store import op7_token_store
 from .toxicity import op3_toxicity
 from .url_rules import op2_url_rules
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_whitening": op12_whitening,
     "op13_divergence": op13_divergence,
 }
 
