@@ -75,6 +75,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return dealt.join(copies, [*([on] if isinstance(on, str) else on), "_gw_salt"], how).drop("_gw_salt")
 
 
+def join_few(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """left joined to a written table of one row a key: by broadcast if that has few rows, else by salted keys."""
+    return left.join(F.broadcast(right), on) if right.count() <= BROADCAST_ROWS else salted_join(left, right, on)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

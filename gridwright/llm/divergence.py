@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, read_table, release
+from .common import bounded_batches, join_few, materialise, read_table, release
 
 #: A term stands in so many documents of its language at least.
 MIN_DOCUMENTS = 3
@@ -224,21 +224,24 @@ def divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top_terms: i
     # a row a language
     langs = numbers.selectExpr("lang", "v", "lang_total + v as lang_total", f"(groups + {block_groups - 1}) div {block_groups} as blocks", f"greatest(1, (v + {chunk_terms - 1}) div {chunk_terms}) as chunks")
     langs = langs.withColumn("spans", F.expr(f"(chunks + {SPAN_CHUNKS - 1}) div {SPAN_CHUNKS}"))
-    chunked = terms.join(langs.select("lang", "chunks"), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks")).drop("chunks")
+    langs = materialise(langs, "divergence-langs")
+    chunked = join_few(terms, langs.select("lang", "chunks"), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks")).drop("chunks")
     placed = chunked.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     kept = materialise(counts.filter("n > 0").drop("docs").join(placed, ["lang", "term"]), "divergence-kept")
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.filter("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang")
+    groups = counts.filter("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left")
+    groups = join_few(groups, langs, "lang")
     groups = materialise(groups.select("lang", "source", (F.coalesce("total", F.lit(0)) + F.col("v")).alias("total"), "lang_total", "v", "blocks", "spans", F.pmod(F.xxhash64("source"), "blocks").alias("block")), "divergence-groups")
-    release(counts, terms)
+    release(counts, terms, langs)
 
-    vectors = _packed(kept).join(groups.select("lang", "source", "block", "blocks"), ["lang", "source"])
-    pairs = pair_sums(groups.select("lang", "source", "block", "blocks", "spans", "total"), vectors).join(groups.select("lang", "v").distinct(), "lang")
+    vectors = join_few(_packed(kept), groups.select("lang", "source", "block", "blocks"), ["lang", "source"])
+    pairs = pair_sums(groups.select("lang", "source", "block", "blocks", "spans", "total"), vectors)
+    pairs = join_few(pairs, groups.select("lang", "source", "v"), ["lang", "source"])
     # terms that neither group of a pair has are alike: one value, times their number; without kept terms totals are 0
     unseen = pairs.withColumn("p", F.expr(share("0", "greatest(1, total)"))).withColumn("q", F.expr(share("0", "greatest(1, item_total)")))
     pairs = unseen.withColumn("value", F.expr("value + (v - seen) * (((p - q) * (p - q)) div q)"))
 
-    used = kept.join(groups.select("lang", "source", "total", "lang_total"), ["lang", "source"])
+    used = join_few(kept, groups.select("lang", "source", "total", "lang_total"), ["lang", "source"])
     used = used.withColumn("p", F.expr(share("n", "total"))).withColumn("q", F.expr(share("lang_n", "lang_total"))).filter("p > q")
     used = used.select("lang", "source", F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
     return _ranked(pairs, "pair").unionByName(_ranked(used, "term", top_terms))
