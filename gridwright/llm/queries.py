@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bilinear import op11_bilinear
 from .decontaminate import op1_decontaminate
 from .divergence import ORACLE_SQL as OP13_SQL
 from .divergence import op13_divergence
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_bilinear": op11_bilinear,
     "op12_whitening": op12_whitening,
     "op13_divergence": op13_divergence,
 }

@@ -3,12 +3,13 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from gridwright.llm import divergence, whitening
+from gridwright.llm import bilinear, divergence, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, p string, item string, total double"
 
@@ -143,3 +144,99 @@ def test_packed_vectors_round_trip():
     places, counts = np.array([9, 2, 70_000]), np.array([1, 300, 1 << 40])
     back = divergence.unpack(divergence.pack(places, counts))
     assert back[0].tolist() == [2, 9, 70_000] and back[1].tolist() == [300, 1, 1 << 40]
+
+
+# --- language model ------------------------------------------------------------------------------
+
+
+def lm_table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 2, "p", "i", 0.5) for i, t in texts], SCHEMA)
+
+
+def lm_texts(seed=5, n=150):
+    r = random.Random(seed)
+    a = ["the", "of", "and", *(x + y for x in ("th", "er", "on") for y in ("ing", "tion", "ed,", "ly."))]
+    b = ["der", "die", "und", *(x + y for x in ("sch", "ich", "ung") for y in ("en", "keit", "er,", "te."))]
+    texts = [" ".join(r.choices(kind, k=r.randint(1, 60))) for kind in (r.choice([a, b]) for _ in range(n))]
+    texts += [None, "", " \t\n", "THE The the", "né é x", "w" * 5000, "rare" + "x" * 70 + " rare" + "x" * 70, texts[0], texts[0], "\x1c \x85 |"]
+    return [*enumerate(texts), (None, texts[1]), (3, texts[3])]
+
+
+def lm_by_hand(texts, held):
+    """Counts, known tokens and base scores from a plain dictionary."""
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), "\0"]
+    counts = Counter(w for i, t in texts if not held(i) for w in cut(t))
+    n, v = sum(counts.values()), len(counts)
+    return n, [(i, len(cut(t)), sum(counts[w] > 0 for w in cut(t)), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in cut(t)), t) for i, t in texts]
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
+@pytest.mark.parametrize("known", [1 << 18, 40, 0])
+def test_language_model_scores(spark, monkeypatch, known):
+    monkeypatch.setattr(bilinear, "KNOWN_WORDS", known)
+    monkeypatch.setattr(bilinear, "WORDS", 9)
+    monkeypatch.setattr(bilinear, "CLASSES", 12)
+    texts = lm_texts()
+    docs = lm_table(spark, texts).withColumn("held_out", bilinear.held_out(7, 2))
+    fitted = bilinear.fit(docs.filter("not held_out"), start_tokens=3000)
+    got = by_id([(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score, r.train_tokens) for r in bilinear.score_texts(docs, fitted).collect()])
+    total, want = lm_by_hand(texts, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+    want = by_id(want)
+    counts = {r.word.encode(): r.n for r in fitted.counts.collect()}
+    v = fitted.vocabulary
+    assert {g[5] for g in got} == {total} and len(got) == len(want)
+    assert known or len(v.known) == 9
+    sizes = Counter()
+    for w, n in counts.items():
+        sizes[v.outcome_of(w)] += n + 1
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-9)
+        # the score from the model's vectors alone: softmax of every token, then the word's share of its class
+        words = bilinear.words_of(w[4])
+        outcomes = [v.outcome_of(x) for x in words]
+        score = 0.0
+        for i, (x, o) in enumerate(zip(words, outcomes, strict=True)):
+            before = [*reversed(outcomes[max(0, i - 4) : i]), *[len(v.outcome_counts)] * 4][:4]
+            q = sum(fitted.model.context[c].astype(float) * fitted.model.positions[k] for k, c in enumerate(before))
+            s = fitted.model.outcome @ q + fitted.model.bias
+            score += (s[o] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10)
+            if o >= len(v.words):
+                score += math.log10((counts.get(x, 0) + 1) / (sizes[o] + 1))
+        assert g[4] == pytest.approx(score, rel=1e-4, abs=1e-3)
+
+
+def test_language_model_learns(spark):
+    """Two kinds of text: held-out ones are likelier than by the base, and than before training."""
+    texts = [(i, t) for i, (_, t) in enumerate(lm_texts(9, 700)) if t and len(t) < 1000]
+    docs = lm_table(spark, texts).withColumn("held_out", bilinear.held_out(7, 2))
+    fitted = bilinear.fit(docs.filter("not held_out"))
+    held = [r for r in bilinear.score_texts(docs, fitted).collect() if r.held_out]
+    assert len(held) > 60 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+    start = bilinear.Fitted(fitted.vocabulary, fitted.sent, bilinear.Model.start(fitted.vocabulary.outcome_counts), fitted.counts)
+    untrained = [r for r in bilinear.score_texts(docs, start).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.score for r in untrained)
+
+
+@pytest.mark.parametrize("texts", [[], [(2, "only held out")], [(None, None)]])
+def test_language_model_of_few_texts(spark, texts):
+    docs = lm_table(spark, texts).withColumn("held_out", bilinear.held_out(7, 2) if texts and texts[0][0] is None else bilinear.F.lit(True))
+    got = bilinear.score_texts(docs, bilinear.fit(docs.filter("not held_out"))).collect()
+    assert len(got) == len(texts) and all(math.isfinite(r.score) and r.base_score <= 0 for r in got)
+
+
+def test_noise_contrastive_step_follows_the_gradient():
+    """One step on many tokens raises the objective that it descends."""
+    r = np.random.default_rng(0)
+    counts = np.array([50.0, 30, 15, 5])
+    model = bilinear.Model.start(counts, 3, 2)
+    outcomes = r.choice(4, 4000, p=[0.1, 0.2, 0.3, 0.4])
+    trainer = bilinear.Trainer(model, 0.1, 1)
+    before = model.log10_probabilities(outcomes, np.array([4000])).mean()
+    for _ in range(5):
+        trainer.learn(outcomes, np.array([4000]))
+    after = trainer.model.log10_probabilities(outcomes, np.array([4000])).mean()
+    entropy = float(np.log10([0.1, 0.2, 0.3, 0.4]) @ [0.1, 0.2, 0.3, 0.4])
+    assert before < after <= 0 and after == pytest.approx(entropy, abs=0.05)
