@@ -1,63 +1,48 @@
-"""Headers of GeoTIFF files and their XML sidecars, read by Spark as binary or text files."""
+"""Headers of GeoTIFF files, read in ranges, and their XML sidecars, read as text files."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges, tiff
+
 HEADER = "path string, width int, height int, bits int, samples int, tiled boolean, pixel_x double, pixel_y double, west double, south double, east double, north double, crs_epsg int, nodata string, error string"
-#: struct codes of the TIFF field types that headers use (fixed values of TIFF 6).
-TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 12: "d"}
 #: Tags that a header must hold (fixed values): size, bits, compression, samples, tile size, pixel scale, tie point, geo keys.
 REQUIRED = [256, 257, 258, 259, 277, 322, 323, 33550, 33922, 34735]
-CRS_KEY = 2048
-
-
-def parse_header(data: bytes) -> dict:
-    """Values of HEADER without path and error; ValueError for what is no classic GeoTIFF with the tags."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a classic TIFF")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    tags: dict[int, tuple] = {}
-    try:
-        (count,) = struct.unpack_from(order + "H", data, at)
-        for i in range(count):
-            tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            if kind in TYPES:
-                code = order + TYPES[kind] * (n if kind != 2 else 1) if kind != 2 else f"{n}s"
-                size = struct.calcsize(code)
-                place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-                tags[tag] = struct.unpack_from(code, data, place)
-    except struct.error as e:
-        raise ValueError(f"header is cut: {e}") from e
+
+
+def parse_header(data) -> dict:
+    """Values of HEADER without path and error, from bytes or a seekable file; ValueError for what is no GeoTIFF with the tags."""
+    _, tags = tiff.read_tags(pa.BufferReader(data) if isinstance(data, bytes) else data)
     if missing := [t for t in REQUIRED if t not in tags]:
         raise ValueError(f"tags are missing: {missing}")
     sx, sy = tags[33550][:2]
     tie = tags[33922]
     west, north = tie[3] - tie[0] * sx, tie[4] + tie[1] * sy
     keys = tags[34735]
-    crs = next((keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k] == CRS_KEY), None)
+    crs = next((keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k] in tiff.CRS_KEYS), None)
     width, height = tags[256][0], tags[257][0]
     nodata = tags[42113][0].rstrip(b"\0 ").decode("ascii", "replace") if 42113 in tags else None
     return {"width": width, "height": height, "bits": tags[258][0], "samples": tags[277][0], "tiled": True, "pixel_x": sx, "pixel_y": sy, "west": west, "south": north - height * sy, "east": west + width * sx, "north": north, "crs_epsg": crs, "nodata": nodata}
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """HEADER of every file under the path; a file that is no GeoTIFF has only path and error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """HEADER of every file under the path; a file that is no GeoTIFF has only path and error. Of a file, its directory is read."""
+    files = spark.read.format("binaryFile").load(path).select("path")
     names = [p.split()[0] for p in HEADER.split(", ")]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for name, content in zip(frame["path"], frame["content"], strict=True):
+            for name in frame["path"]:
                 try:
-                    rows.append(parse_header(content) | {"path": name, "error": None})
+                    with ranges.open_file(name) as file:
+                        rows.append(parse_header(file) | {"path": name, "error": None})
                 except ValueError as e:
                     rows.append({"path": name, "error": str(e)})
             yield pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int32" for c in ("width", "height", "bits", "samples", "crs_epsg")} | {"tiled": "boolean"} | dict.fromkeys(("pixel_x", "pixel_y", "west", "south", "east", "north"), "float64"))
