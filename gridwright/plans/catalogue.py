@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import acquiring, acquisition, assessment, features, impacts, surfaces
+from . import acquiring, acquisition, assessment, features, impacts, surfaces, systems
 
-QUERIES = surfaces.QUERIES | assessment.QUERIES | acquisition.QUERIES | features.QUERIES | acquiring.QUERIES | impacts.QUERIES
-ORACLE_SQL = surfaces.ORACLE_SQL | assessment.ORACLE_SQL | acquisition.ORACLE_SQL | features.ORACLE_SQL | acquiring.ORACLE_SQL | impacts.ORACLE_SQL
+_PLANS = (surfaces, assessment, acquisition, features, acquiring, impacts, systems)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
