@@ -22,6 +22,40 @@ def route_segments(route: DataFrame, west: float, north: float, cell: float) ->
     return route.select("preset", "step", x.alias("x1"), y.alias("y1"), F.lead(x).over(w).alias("x2"), F.lead(y).over(w).alias("y2")).filter("x2 is not null")
 
 
+#: Two places are on one line if they are no farther from it than this share of a step's length.
+ON_LINE = 1e-9
+
+
+def _step(prefix: str = "r"):
+    """Start, direction, squared size, and for a place its distance from the step's line (times the size, 0 if it is on it) and its share of the step."""
+    ax, ay, bx, by = (F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+
+    def side(x: Column, y: Column) -> Column:
+        k = dx * (y - ay) - dy * (x - ax)
+        return F.when(F.abs(k) <= ON_LINE * size, F.lit(0.0)).otherwise(k)
+
+    return size, side, lambda x, y: ((x - ax) * dx + (y - ay) * dy) / size
+
+
+def _held(t: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+
+
+def _covered(parts: Column) -> Column:
+    """Length of the union of stretches(a, b), sorted by a."""
+    start = F.struct(F.lit(0.0).alias("end"), F.lit(0.0).alias("sum"))
+    grow = lambda s, p: F.struct(F.greatest(s["end"], p["b"]).alias("end"), (s["sum"] + F.greatest(F.lit(0.0), p["b"] - F.greatest(s["end"], p["a"]))).alias("sum"))
+    return F.aggregate(parts, start, grow, lambda s: s["sum"])
+
+
+def _measured(parts: DataFrame) -> DataFrame:
+    """preset, id, length_m, dimension of parts(preset, id, step, size, parts): 1 with a length in millimetres, else 0 (points only)."""
+    out = parts.select("preset", "id", (_covered(F.col("parts")) * F.col("size")).alias("length")).groupBy("preset", "id").agg(F.round(F.sum("length"), 3).alias("length_m"))
+    return out.withColumn("dimension", F.when(F.col("length_m") > 0, 1).otherwise(0))
+
+
 def crossings(segments: DataFrame, features: DataFrame, size: float) -> DataFrame:
     """preset, id, length_m, dimension of route segments(preset, step, ...) and feature segments(id, x1, y1, x2, y2) that meet.
 
@@ -30,29 +64,55 @@ def crossings(segments: DataFrame, features: DataFrame, size: float) -> DataFram
     r = bucketed(segments, size).select("preset", "step", "bx", "by", *(F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")))
     f = bucketed(features, size).select("id", "bx", "by", "x1", "y1", "x2", "y2")
     ours, theirs = (tuple(F.col(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")) for p in ("r", ""))
-    met = r.join(f, ["bx", "by"]).filter(segments_meet(ours, theirs))
-    ax, ay, bx, by = ours
-    dx, dy = bx - ax, by - ay
-    side = lambda x, y: dx * (y - ay) - dy * (x - ax)
-    at = lambda x, y: ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)
+    squared, side, at = _step()
     t1, t2 = at(theirs[0], theirs[1]), at(theirs[2], theirs[3])
     on_line = (side(theirs[0], theirs[1]) == 0) & (side(theirs[2], theirs[3]) == 0)
-    hold = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-    shared = F.when(on_line, F.struct(hold(F.least(t1, t2)).alias("a"), hold(F.greatest(t1, t2)).alias("b")))
-    parts = met.select("preset", "id", "step", F.hypot(dx, dy).alias("size"), shared.alias("part")).groupBy("preset", "id", "step").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("part")).alias("parts"))
-    start = F.struct(F.lit(0.0).alias("end"), F.lit(0.0).alias("sum"))
-    grow = lambda s, p: F.struct(F.greatest(s["end"], p["b"]).alias("end"), (s["sum"] + F.greatest(F.lit(0.0), p["b"] - F.greatest(s["end"], p["a"]))).alias("sum"))
-    length = F.aggregate("parts", start, grow, lambda s: s["sum"]) * F.col("size")
-    out = parts.select("preset", "id", length.alias("length")).groupBy("preset", "id").agg(F.round(F.sum("length"), 3).alias("length_m"))
-    return out.withColumn("dimension", F.when(F.col("length_m") > 0, 1).otherwise(0))
+    beside = on_line & (F.least(t1, t2) <= 1) & (F.greatest(t1, t2) >= 0)
+    met = r.join(f, ["bx", "by"]).filter(segments_meet(ours, theirs) | beside)
+    shared = F.when(on_line, F.struct(_held(F.least(t1, t2)).alias("a"), _held(F.greatest(t1, t2)).alias("b")))
+    parts = met.select("preset", "id", "step", F.sqrt(squared).alias("size"), shared.alias("part")).groupBy("preset", "id", "step").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("part")).alias("parts"))
+    return _measured(parts)
+
 
+def area_crossings(segments: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """preset, id, length_m, dimension of route segments(preset, step, ...) that meet closed areas of ring segments(id, x1, y1, x2, y2).
 
-def impact_inventory(segments: DataFrame, features: DataFrame, size: float) -> DataFrame:
-    """preset, component, id, length_m, dimension, major for features(component, id, major, x1, y1, x2, y2), ids as text in their order.
+    What is inside follows from the crossings of a step's line with all rings of an area (even-odd, a line along a
+    ring counted on one side); stretches along a ring are added, so an area's edge belongs to it. Steps that only
+    touch an area have dimension 0."""
+    box = {"x1": F.min(F.least("x1", "x2")), "y1": F.min(F.least("y1", "y2")), "x2": F.max(F.greatest("x1", "x2")), "y2": F.max(F.greatest("y1", "y2"))}
+    boxes = areas.groupBy("id").agg(*(v.alias(k) for k, v in box.items()))
+    r = bucketed(segments, size).select("preset", "step", "bx", "by", *(F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")))
+    near = (F.greatest("rx1", "rx2") >= F.col("x1")) & (F.least("rx1", "rx2") <= F.col("x2")) & (F.greatest("ry1", "ry2") >= F.col("y1")) & (F.least("ry1", "ry2") <= F.col("y2"))
+    pairs = r.join(bucketed(boxes, size), ["bx", "by"]).filter(near).select("preset", "step", "id", "rx1", "ry1", "rx2", "ry2").distinct()
+    squared, side, at = _step()
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    edges = pairs.join(areas, "id").withColumns({"a": side(x1, y1), "b": side(x2, y2), "t1": at(x1, y1), "t2": at(x2, y2)})
+    k = F.try_divide(F.col("a"), F.col("a") - F.col("b"))
+    crossing = F.when((F.col("a") < 0) != (F.col("b") < 0), F.col("t1") + k * (F.col("t2") - F.col("t1")))
+    along = (F.col("a") == 0) & (F.col("b") == 0)
+    stretch = F.when(along & (F.least("t1", "t2") <= 1) & (F.greatest("t1", "t2") >= 0), F.struct(_held(F.least("t1", "t2")).alias("a"), _held(F.greatest("t1", "t2")).alias("b")))
+    # where an edge's line meets the step: crossed, or touched at an end
+    touch = stretch.isNotNull() | (~along & (F.col("a") * F.col("b") <= 0) & (F.col("t1") + k * (F.col("t2") - F.col("t1"))).between(0, 1))
+    by_step = edges.select("preset", "id", "step", F.sqrt(squared).alias("size"), crossing.alias("t"), stretch.alias("part"), touch.alias("touch")).groupBy("preset", "id", "step").agg(
+        F.first("size").alias("size"), F.array_sort(F.collect_list("t")).alias("ts"), F.collect_list("part").alias("along"), F.bool_or(F.coalesce("touch", F.lit(False))).alias("touch"))
+    inside = F.when(F.size("ts") > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size("ts") / 2).cast("int") - 1), lambda i: F.struct(_held(F.get("ts", i * 2)).alias("a"), _held(F.get("ts", i * 2 + 1)).alias("b")))).otherwise(F.array().cast("array<struct<a:double,b:double>>"))
+    parts = by_step.withColumn("parts", F.array_sort(F.concat(inside, "along"))).filter(F.col("touch") | (_covered(F.col("parts")) > 0))
+    return _measured(parts)
+
+
+def impact_inventory(segments: DataFrame, features: DataFrame, size: float, areas: DataFrame | None = None) -> DataFrame:
+    """preset, component, id, length_m, dimension, major for line features(component, id, major, x1, y1, x2, y2) and
+    areas of the same columns (their ring segments), ids as text in their order.
 
     An id is one feature of one component."""
-    keyed = features.withColumn("key", F.struct("component", F.col("id").cast("string").alias("id"), "major"))
-    found = crossings(segments, keyed.select(F.col("key").alias("id"), "x1", "y1", "x2", "y2"), size)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct("component", F.col("id").cast("string").alias("id"), "major").alias("id"), "x1", "y1", "x2", "y2")
+
+    found = crossings(segments, keyed(features), size)
+    if areas is not None:
+        found = found.unionByName(area_crossings(segments, keyed(areas), size))
     return found.select("preset", "id.component", "id.id", "length_m", "dimension", "id.major").orderBy("preset", "component", "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_major_road
-from ..operators import report, routing
+from ..operators import report, routing, vector
 from . import bindings as b
 from .assessment import _SUMS, _weights
 from .registry import Registry
@@ -21,7 +21,29 @@ lines AS (SELECT component, id, major, x1, y1, x1 + CASE WHEN way = 1 THEN 0 ELS
 # routes' steps against single-segment features: a shared stretch on one line, else a point
 _IMPACTS = f"""rs AS (SELECT preset, step, (col + 0.5) * 100 AS ax, {_TOP} - (row + 0.5) * 100 AS ay, lead((col + 0.5) * 100) OVER w AS cx, lead({_TOP} - (row + 0.5) * 100) OVER w AS cy FROM routes WINDOW w AS (PARTITION BY preset ORDER BY step)),
 met AS (SELECT *, (cx - ax) * (y1 - ay) = (cy - ay) * (x1 - ax) AND (cx - ax) * (y2 - ay) = (cy - ay) * (x2 - ax) AS together FROM (FROM rs WHERE cx IS NOT NULL) r, lines l WHERE {b.meet('ax,ay', 'cx,cy', 'x1,y1', 'x2,y2')}),
-found AS (SELECT preset, component, id, any_value(major) AS major, round(sum(CASE WHEN together THEN sqrt(power(greatest(0, least(greatest(ax, cx), greatest(x1, x2)) - greatest(least(ax, cx), least(x1, x2))), 2) + power(greatest(0, least(greatest(ay, cy), greatest(y1, y2)) - greatest(least(ay, cy), least(y1, y2))), 2)) ELSE 0 END), 3) AS length_m FROM met GROUP BY preset, component, id)"""
+found_lines AS (SELECT preset, component, id, any_value(major) AS major, round(sum(CASE WHEN together THEN sqrt(power(greatest(0, least(greatest(ax, cx), greatest(x1, x2)) - greatest(least(ax, cx), least(x1, x2))), 2) + power(greatest(0, least(greatest(ay, cy), greatest(y1, y2)) - greatest(least(ay, cy), least(y1, y2))), 2)) ELSE 0 END), 3) AS length_m FROM met GROUP BY preset, component, id)"""
+
+#: Areas of the suppliers: rectangles and triangles between cell centres or half-way, every fifth with a square hole.
+_AREAS = f"""shapes AS (SELECT s_suppkey AS k, ((s_suppkey * 5 % {b.N}) + 0.5) * 100 + (CASE WHEN s_suppkey % 4 = 0 THEN 50 ELSE 0 END) AS x, {_TOP} - ((s_suppkey * 13 % {b.N}) + 0.5) * 100 AS y, (s_suppkey % 4 + 1) * 100.0 AS w, (s_suppkey % 3 + 1) * 100.0 AS h FROM supplier),
+corners AS (SELECT k, 0 AS ring, CASE WHEN k % 3 = 1 THEN [[x, y], [x + w, y], [x, y - h], [x, y]] ELSE [[x, y], [x + w, y], [x + w, y - h], [x, y - h], [x, y]] END AS p FROM shapes
+  UNION ALL SELECT k, 1, [[x + 25, y - 25], [x + 75, y - 25], [x + 75, y - 75], [x + 25, y - 75], [x + 25, y - 25]] FROM shapes WHERE k % 5 = 0),
+edges AS (SELECT CASE WHEN k % 2 = 0 THEN 'protected_land' ELSE 'hydrography_area' END AS component, k::VARCHAR AS id, p[i][1] AS x1, p[i][2] AS y1, p[i + 1][1] AS x2, p[i + 1][2] AS y2 FROM (SELECT *, unnest(range(1, len(p))) AS i FROM corners))"""
+# a step is cut wherever it meets an edge; the middle of each cut lies inside, on an edge, or outside
+_AREA_IMPACTS = f"""bounds AS (SELECT component, id, min(least(x1, x2)) AS bx1, max(greatest(x1, x2)) AS bx2, min(least(y1, y2)) AS by1, max(greatest(y1, y2)) AS by2 FROM edges GROUP BY ALL),
+near AS (SELECT preset, step, ax, ay, cx, cy, component, id FROM (FROM rs WHERE cx IS NOT NULL) r, bounds WHERE greatest(ax, cx) >= bx1 AND least(ax, cx) <= bx2 AND greatest(ay, cy) >= by1 AND least(ay, cy) <= by2),
+pieces AS (SELECT n.*, x1, y1, x2, y2, (cx - ax) * (y2 - y1) - (cy - ay) * (x2 - x1) AS den, {b.meet('ax,ay', 'cx,cy', 'x1,y1', 'x2,y2')} AS meets FROM near n JOIN edges USING (component, id)),
+marks AS (SELECT preset, step, component, id, unnest(CASE WHEN NOT meets THEN [0, 1] WHEN den <> 0 THEN [0, 1, ((x1 - ax) * (y2 - y1) - (y1 - ay) * (x2 - x1)) / den]
+  ELSE [0, 1, ((x1 - ax) * (cx - ax) + (y1 - ay) * (cy - ay)) / (power(cx - ax, 2) + power(cy - ay, 2)), ((x2 - ax) * (cx - ax) + (y2 - ay) * (cy - ay)) / (power(cx - ax, 2) + power(cy - ay, 2))] END) AS t FROM pieces),
+cuts AS (SELECT preset, step, component, id, t, lead(t) OVER (PARTITION BY preset, step, component, id ORDER BY t) AS u FROM (SELECT DISTINCT preset, step, component, id, round(t, 12) AS t FROM marks WHERE t BETWEEN 0 AND 1)),
+middles AS (SELECT n.*, t, u, ax + (t + u) / 2 * (cx - ax) AS px, ay + (t + u) / 2 * (cy - ay) AS py FROM cuts JOIN near n USING (preset, step, component, id) WHERE u > t),
+held AS (SELECT preset, step, component, id, t, u, sqrt(power(cx - ax, 2) + power(cy - ay, 2)) AS size,
+  count(*) FILTER ((y1 > py) <> (y2 > py) AND px < x1 + (py - y1) / (y2 - y1) * (x2 - x1)) % 2 = 1 OR bool_or(abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) < 1e-6 AND px BETWEEN least(x1, x2) - 1e-9 AND greatest(x1, x2) + 1e-9 AND py BETWEEN least(y1, y2) - 1e-9 AND greatest(y1, y2) + 1e-9) AS within
+  FROM middles JOIN edges USING (component, id) GROUP BY ALL),
+lengths AS (SELECT preset, component, id, sum((u - t) * size) AS length FROM held WHERE within GROUP BY ALL),
+touched AS (SELECT DISTINCT preset, component, id FROM pieces WHERE meets),
+found_areas AS (SELECT preset, component, id, NULL::BOOLEAN AS major, round(coalesce(length, 0), 3) AS length_m FROM touched FULL JOIN lengths USING (preset, component, id)),
+found AS (FROM found_lines UNION ALL FROM found_areas)"""
+_IMPACTS = f"{_IMPACTS}, {_AREAS}, {_AREA_IMPACTS}"
 
 
 def _lines(spark, sf_dir):
@@ -34,13 +56,26 @@ def _lines(spark, sf_dir):
                                                      (x + F.when(k % 3 == 1, 0.0).otherwise(run)).alias("x2"), (y - F.when(k % 3 == 0, 0.0).otherwise(run)).alias("y2"))
 
 
+def _rings(spark, sf_dir):
+    k = F.col("s_suppkey")
+    x = ((k * 5 % b.N) + 0.5) * _CELL + F.when(k % 4 == 0, 50.0).otherwise(0.0)
+    y = _TOP - ((k * 13 % b.N) + 0.5) * _CELL
+    right, low = x + (k % 4 + 1) * 100.0, y - (k % 3 + 1) * 100.0
+    path = lambda *points: F.array(*(F.array(px, py) for px, py in (*points, points[0])))
+    outer = F.when(k % 3 == 1, path((x, y), (right, y), (x, low))).otherwise(path((x, y), (right, y), (right, low), (x, low)))
+    hole = path((x + 25, y - 25), (x + 75, y - 25), (x + 75, y - 75), (x + 25, y - 75))
+    shapes = b.table(spark, sf_dir, "supplier").select(k.alias("id"), F.when(k % 5 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("paths"))
+    component = F.when(F.col("id") % 2 == 0, "protected_land").otherwise("hydrography_area")
+    return vector.polyline_segments(shapes).select(component.alias("component"), F.col("id").cast("string").alias("id"), F.lit(None).cast("boolean").alias("major"), "x1", "y1", "x2", "y2")
+
+
 def _inventory(spark, sf_dir, route):
-    return report.impact_inventory(report.route_segments(route, 0.0, _TOP, _CELL), _lines(spark, sf_dir), 300.0)
+    return report.impact_inventory(report.route_segments(route, 0.0, _TOP, _CELL), _lines(spark, sf_dir), 300.0, _rings(spark, sf_dir))
 
 
 @R.query(f"WITH {b.ROUTES}, {_FEATURES}, {_IMPACTS} SELECT preset, component, id, length_m, (length_m > 0)::INT AS dimension, major FROM found")
 def route_impacts(spark, sf_dir):
-    """Features that routes meet, with the shared length; in the order of their ids as text."""
+    """Lines and areas that routes meet, with the shared length; in the order of their ids as text."""
     return _inventory(spark, sf_dir, b.routes(spark))
 
 
