@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, read_table
 
-#: Buckets of the trigram hash; fewer where languages times buckets would pass MODEL_CELLS, so a model's size is bounded.
+#: Buckets of the trigram hash, the same however many languages there are: a model has 256 KB a language.
 BUCKETS = 1 << 16
-MODEL_CELLS = 1 << 24
+#: Texts are picked for the sample by hashes below a share of this: rates far below one in 10^12 are still above 0.
+PICKS = 1 << 60
 #: The trigram model is fitted on about so many documents of each language, picked by hash.
 SAMPLE_DOCS = 1500
 #: Penalty for each language of the set beyond the first, times log(number of trigrams).
@@ -35,9 +36,9 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def buckets_for(languages: int) -> int:
-    """A power of two, at least 1."""
-    return 1 << max(0, min(BUCKETS.bit_length(), (MODEL_CELLS // max(languages, 1)).bit_length()) - 1)
+def pick_limit(sample: int, n: int) -> int:
+    """Hashes below this number of PICKS give about `sample` of n rows; at least one hash does."""
+    return PICKS if n <= sample else max(1, PICKS * sample // n)
 
 
 def trigram_counts(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,31 +132,31 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS)))
-    buckets = buckets_for(len(languages))
-    most = F.lit(0)
+    number = {lang: i for i, lang in enumerate(languages)}
+    most = F.lit(0).cast("long")
     for lang, n in sizes.items():
-        most = F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, sample_docs / n)))).otherwise(most)
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < most).select("lang", "text")
+        most = F.when(F.col("lang") == lang, F.lit(pick_limit(sample_docs, n)).cast("long")).otherwise(most)
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PICKS)) < most).select("lang", "text")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sums: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                kinds, n = trigram_counts(text, buckets)
-                sums.setdefault(lang, np.zeros(buckets))[kinds] += n
+                kinds, n = trigram_counts(text)
+                sums.setdefault(lang, np.zeros(BUCKETS))[kinds] += n
             names, kinds, counts = [], [], []
             for lang, total in sums.items():
                 at = np.flatnonzero(total)
-                names += [lang] * len(at)
+                names.append(np.full(len(at), number[lang]))
                 kinds.append(at)
                 counts.append(total[at])
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(counts))], ["lang", "bucket", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((names, pa.int32()), (kinds, pa.int32()), (counts, pa.float64()))], ["lang", "bucket", "n"])
 
         return each
 
-    rows = map_batches(sample, "lang string, bucket int, n double", make).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most MODEL_CELLS rows, however many languages
-    counts = np.zeros((len(languages), buckets))
-    counts[np.searchsorted(languages, rows["lang"].to_numpy(str)), rows["bucket"].to_numpy(np.int64)] = rows["n"]
+    rows = map_batches(sample, "lang int, bucket int, n double", make).groupBy("lang", "bucket").agg(F.sum("n").cast("float").alias("n")).toArrow()  # 12 bytes a bucket that a language uses
+    counts = np.zeros((len(languages), BUCKETS))
+    counts[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return LanguageModel(languages, counts)
 
 
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     made = [x.split()[0] for x in SCHEMA.split(", ")]
     keep = [c for c in docs.columns if c.lower() not in made]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))  # MODEL_CELLS floats at most
+    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))  # 256 KB a language
     shares_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def make():

@@ -15,6 +15,7 @@ texts shorter than the window lose nothing by themselves; equal rows are documen
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, materialise, mix64, prefix_codes, read_table, release, slice_hashes
+from .common import BROADCAST_ROWS, bounded_batches, map_batches, materialise, mix64, prefix_codes, read_table, release, salted_join, slice_hashes
 
 LENGTH = 200
 K = 64
 #: Suffixes in a key range on average, and bytes that a task holds before it sends a run to each range.
 RANGE_SUFFIXES, RUN_BYTES = 16_384, 12_000_000
-#: A range cannot split an anchor; anchors of more classes than this are matched by window hashes, spread over all tasks.
-HOT_CLASSES = 20_000
+#: An anchor of more classes than this is dealt to several ranges: for each band of so many offsets, by the bytes
+#: that all windows of the band share.
+SPLIT_CLASSES, BAND = 20_000, 17
 KEY = 8
 
 
@@ -177,12 +179,12 @@ def classes_at(prefixes: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     return out
 
 
-def doubled_offsets(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray], l: np.ndarray, r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
-    """Smallest and largest offset of each anchor in a window that two classes share; -1 without one."""
+def doubled_offsets(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray], l: np.ndarray, r: np.ndarray, length: int, first: np.ndarray | int = 0, last: np.ndarray | int = LENGTH) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """Smallest and largest offset (from first to last) of each anchor in a window that two classes share; -1 without one."""
     n = len(l)
     low, high = np.full(n, -1), np.full(n, -1)
     for o in range(length - K + 1):
-        can = np.flatnonzero((l >= o) & (r >= length - o))
+        can = np.flatnonzero((l >= o) & (r >= length - o) & (first <= o) & (last >= o))
         if len(can) < 2:
             continue
         key = classes_at(*right, KEY + length - o)[can] * (n + 1) + classes_at(*left, KEY + o)[can]
@@ -194,30 +196,41 @@ def doubled_offsets(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray
     return low, high
 
 
+def bands(key: int, suffix: bytes, before: bytes, length: int) -> Iterator[tuple[int, int, int]]:
+    """Key, first and last offset of the bands in which an anchor (`before` is read backwards) has whole windows."""
+    for first in range(0, length - K + 1, BAND):
+        last = min(first + BAND - 1, length - K)
+        if len(before) >= first and len(suffix) >= length - last:
+            shared = before[:first][::-1] + suffix[: length - last]
+            yield int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=key.to_bytes(8, "big"), salt=first.to_bytes(8, "big")).digest(), "big"), first, last
+
+
 def sorted_runs(heads: DataFrame, length: int, ranges: int) -> DataFrame:
-    """range, h, c, l, r, run, left_run, left_at: front-coded runs of suffixes, and of what is before them, for each batch and key range.
+    """range, h, c, l, r, first, last, run, left_run, left_at: front-coded runs of suffixes, and of what is before them, for each batch and key range.
 
-    heads: data and at, an array of the anchors (h, c, pos) to take from it."""
+    heads: data and at, an array of the anchors (h, c, pos, split) to take from it. The key of an anchor is its hash. A
+    split one has a key for each band of offsets, mixed with the bytes that its windows of the band have in common if they are
+    equal, so that equal windows still meet; where keys coincide, bytes decide as ever."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, int, int, int]] = []
+        held: list[tuple[bytes, bytes, int, int, int, int, int, int]] = []
         size = 0
 
         def flush():
             held.sort()
-            key = mix64(np.array([x[2] for x in held], np.int64).view(np.uint64))
+            key = np.array([x[7] for x in held], np.uint64)
             part = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(int)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(held)]
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(10)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 group = held[a:b]
                 lefts = [x[0][:KEY] + x[1] for x in group]
                 left_at = sorted(range(b - a), key=lefts.__getitem__)
-                values = (int(part[a]), [x[2] for x in group], [x[3] for x in group], [len(x[1]) for x in group], [x[4] for x in group], front_code([x[0] for x in group]), front_code([lefts[i] for i in left_at]), left_at)
+                values = (int(part[a]), [x[2] for x in group], [x[3] for x in group], [len(x[1]) for x in group], [x[4] for x in group], [x[5] for x in group], [x[6] for x in group], front_code([x[0] for x in group]), front_code([lefts[i] for i in left_at]), left_at)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "h", "c", "l", "r", "run", "left_run", "left_at"])
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "h", "c", "l", "r", "first", "last", "run", "left_run", "left_at"])
 
         for batch in batches:
             for data, at in zip(batch.column("data").to_pylist(), batch.column("at").to_pylist(), strict=True):
@@ -226,8 +239,9 @@ def sorted_runs(heads: DataFrame, length: int, ranges: int) -> DataFrame:
                 for x, key in zip(at, keys, strict=True):
                     pos = x["pos"]
                     suffix, before = data[pos : pos + length], data[max(0, pos - (length - K)) : pos][::-1]
-                    held.append((key.to_bytes(KEY, "big") + suffix, before, x["h"], x["c"], len(suffix)))
-                    size += len(suffix) + len(before)
+                    for band, first, last in bands(key, suffix, before, length) if x["split"] else [(key, 0, length - K)]:
+                        held.append((band.to_bytes(KEY, "big") + suffix, before, x["h"], x["c"], len(suffix), first, last, band))
+                        size += len(suffix) + len(before)
             if size > RUN_BYTES:
                 yield flush()
                 held, size = [], 0
@@ -235,13 +249,13 @@ def sorted_runs(heads: DataFrame, length: int, ranges: int) -> DataFrame:
             yield flush()
 
     bounded_batches(heads.sparkSession)
-    return heads.select("data", "at").mapInArrow(run, "range int, h array<long>, c array<long>, l array<int>, r array<int>, run binary, left_run binary, left_at array<int>")
+    return heads.select("data", "at").mapInArrow(run, "range int, h array<long>, c array<long>, l array<int>, r array<int>, first array<int>, last array<int>, run binary, left_run binary, left_at array<int>")
 
 
 def merge_range(group: pa.Table, length: int) -> pa.Table:
     """h, c, low, high of the classes of one key range that share a window with another class."""
     flat = lambda name: np.concatenate([np.array(x, np.int64) for x in group.column(name).to_pylist()])
-    h, c, l, r = (flat(x) for x in ("h", "c", "l", "r"))  # noqa: E741
+    h, c, l, r, low, high = (flat(x) for x in ("h", "c", "l", "r", "first", "last"))  # noqa: E741
     first = np.cumsum([0, *(len(x) for x in group.column("h"))])
 
     def side(column: str, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,36 +265,11 @@ def merge_range(group: pa.Table, length: int) -> pa.Table:
 
     right = side("run", [np.arange(a, b) for a, b in zip(first, first[1:], strict=False)])
     left = side("left_run", [a + np.array(x) for a, x in zip(first, group.column("left_at").to_pylist(), strict=False)])
-    low, high = doubled_offsets(right, left, l, r, length)
+    low, high = doubled_offsets(right, left, l, r, length, low, high)
     hit = np.flatnonzero(low >= 0)
     return pa.table({"h": h[hit], "c": c[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
 
 
-def hot_matches(heads: DataFrame, length: int) -> DataFrame:
-    """merge_range()'s rows for anchors of very many classes: equal windows found by a grouped count of their hashes."""
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for data, at in zip(batch.column("data").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                data = np.frombuffer(data, np.uint8)
-                for x in at:
-                    first, last = max(0, x["pos"] - (length - K)), min(x["pos"], len(data) - length)
-                    starts = np.arange(first, last + 1)
-                    if len(starts):
-                        codes = prefix_codes(data[first : last + length])
-                        for column, value in zip(out, (np.full(len(starts), x["h"]), np.full(len(starts), x["c"]), x["pos"] - starts, slice_hashes(codes, starts - first, starts - first + length).view(np.int64)), strict=True):
-                            column.append(value)
-            join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-            return pa.RecordBatch.from_arrays([join(c) for c in out], ["h", "c", "o", "w"])
-
-        return each
-
-    rows = map_batches(heads.select("data", "at"), "h long, c long, o long, w long", make)
-    doubled = rows.groupBy("h", "o", "w").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h", "o", "w")
-    return rows.join(doubled, ["h", "o", "w"]).groupBy("h", "c").agg(F.min("o").cast("int").alias("low"), F.max("o").cast("int").alias("high"))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, spans: per text of docs(row, doc_id, data) the stretches, one or more an anchor, that have a double elsewhere."""
     spark = docs.sparkSession
@@ -291,25 +280,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = known.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("head"), F.first("mixed").alias("mixed"), F.first("l").alias("l"), F.first("r").alias("r"))
     classes = materialise(classes, "anchor-classes")
     mixed = classes.filter("mixed").select("h", "c", F.col("head.row").alias("row"), F.col("head.pos").alias("pos"))
-    hot = materialise(mixed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CLASSES).select("h"), "hot-anchors")
-
-    def with_text(heads: DataFrame) -> DataFrame:
-        listed = heads.groupBy("row").agg(F.collect_list(F.struct("h", "c", "pos")).alias("at"))
-        return docs.join(listed, "row")
-
-    ranges = max(1, -(-mixed.count() // RANGE_SUFFIXES))
-    some_hot = not hot.isEmpty()
-    runs = sorted_runs(with_text(mixed.join(hot, "h", "left_anti") if some_hot else mixed), length, ranges)
-    matched = runs.groupBy("range").applyInArrow(lambda group: merge_range(group, length), "h long, c long, low int, high int")
-    if some_hot:
-        matched = matched.union(hot_matches(with_text(mixed.join(hot, "h")), length))
+    many = materialise(mixed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_CLASSES).select("h", F.lit(True).alias("split")), "split-anchors")
+    # few anchors have many classes, as their number times SPLIT_CLASSES is bounded by the places; salted where they do not fit a broadcast
+    n_split = many.count()
+    heads = mixed.withColumn("split", F.lit(False)) if not n_split else (mixed.join(F.broadcast(many), "h", "left") if n_split <= BROADCAST_ROWS else salted_join(mixed, many, "h", "left")).withColumn("split", F.coalesce("split", F.lit(False)))
+    listed = heads.groupBy("row").agg(F.collect_list(F.struct("h", "c", "pos", "split")).alias("at"))
+    suffixes = heads.agg(F.coalesce(F.sum(F.when(F.col("split"), -(-(length - K + 1) // BAND)).otherwise(1)), F.lit(0))).first()[0]
+    ranges = max(1, -(-suffixes // RANGE_SUFFIXES))
+    runs = sorted_runs(docs.join(listed, "row"), length, ranges)
+    found_in_ranges = runs.groupBy("range").applyInArrow(lambda group: merge_range(group, length), "h long, c long, low int, high int")
+    matched = found_in_ranges if not n_split else found_in_ranges.groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # a class of several places is doubled wherever a window fits; one place needs another class
     several = classes.filter((F.col("n") > 1) & (F.col("l") + F.col("r") >= length)).select("h", "c", F.greatest(F.lit(0), length - F.col("r")).cast("int").alias("low"), F.col("l").cast("int").alias("high"))
     alone = classes.filter("n = 1 and mixed").select("h", "c", F.col("head.row").alias("row"), F.col("head.pos").alias("pos"))
     places = known.select("h", "c", "row", "pos").join(several, ["h", "c"]).unionByName(alone.join(matched, ["h", "c"]))
     spans = places.select("row", F.struct((F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + length).alias("b")).alias("span"))
     out = materialise(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
-    release(shared, known, classes, hot)
+    release(shared, known, classes, many)
     return out
 
 

@@ -374,7 +374,7 @@ def brute_repeats(rows, n):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_CLASSES", hot)
     monkeypatch.setattr(suffix_dedup, "RANGE_SUFFIXES", 40 if hot > 1 else 16_384)
     monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 6000)
     r = random.Random(4)
@@ -511,10 +511,10 @@ def test_mixtures_equal_an_exhaustive_search():
             assert np.abs(got[list(best)] - found[best][1]).max() < 0.02
 
 
-def test_buckets_bound_the_model():
-    assert langmix.buckets_for(4) == langmix.BUCKETS and all(n * langmix.buckets_for(n) <= max(n, langmix.MODEL_CELLS) for n in (1, 256, 257, 5000, 10**6))
-    kinds, n = langmix.trigram_counts("many words of some text here", 64)
-    assert kinds.max() < 64 and n.sum() == langmix.trigram_counts("many words of some text here")[1].sum()
+def test_sample_rates_do_not_vanish():
+    for n in (1, 1500, 1501, 2 * 10**9, 10**10, 10**14):
+        limit = langmix.pick_limit(1500, n)
+        assert 0 < limit <= langmix.PICKS and abs(limit / langmix.PICKS * n - min(n, 1500)) < 1e-3 * n + 1
 
 
 def test_forged_containers(spark, empty):
