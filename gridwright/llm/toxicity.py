@@ -97,6 +97,11 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _last(content: bytes, size: int) -> bytes:
+    """The last bytes of a content, none where there is no room."""
+    return content[max(0, len(content) - size) :] if size > 0 else b""
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -161,7 +166,7 @@ def fit(toxic: list[str], ordinary: list[str], rates: tuple[float, float] = (1.0
     opening = tuple(stems)
     samples = [b" ".join(x) for t in ta if (x := [s.encode() for w in _WORD.findall(t.lower()) if w.startswith(opening) for s in stems if w.startswith(s)])] if opening else []
     listed = b" " + b" ".join(s.encode() for s in stems) + b" "
-    model = Model(_train(DICTIONARY, [w for t in oa for w in windows(t)]), _train(TOXIC_DICTIONARY, samples)[-TOXIC_DICTIONARY + len(listed) :] + listed, np.zeros(n + 1), np.zeros(n), np.ones(n))
+    model = Model(_train(DICTIONARY, [w for t in oa for w in windows(t)]), _last(_train(TOXIC_DICTIONARY, samples), TOXIC_DICTIONARY - len(listed)) + listed, np.zeros(n + 1), np.zeros(n), np.ones(n))
     plain, both = model.compressors()
     x = np.array([features(t, plain, both) for t in [*tb, *ob]])
     y = np.array([1.0] * len(tb) + [0.0] * len(ob))
@@ -179,16 +184,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMP
     # every text counts some bytes more, which bounds the number of ids as well
     known = docs.select("doc_id", (F.octet_length("text") + ROW_BYTES).alias("n")).join(marks, "doc_id")
     sums = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    limits = {toxic: max(1, int((1 << 20) * min(1.0, sample_bytes / max(n, 1)))) for toxic, n in sums.items()}
-    most = F.lit(0)
+    wide = 1 << 60  # so that the rate is above 0 and the sample within its bound at any size
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(wide))
+    limits = {toxic: wide if n <= sample_bytes else max(1, wide * sample_bytes // n) for toxic, n in sums.items()}
+    most = F.lit(0).cast("long")
     for toxic, limit in limits.items():
         most = F.when(F.col("toxic") == toxic, F.lit(limit)).otherwise(most)
     # at most about sample_bytes / ROW_BYTES ids a class, so texts never move for the others
     picked = known.filter(rank < most).select("doc_id", "toxic").distinct()
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()  # bounded by sample_bytes
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    rates = tuple(limits.get(toxic, 1 << 20) / (1 << 20) for toxic in (1, 0))
+    rates = tuple(limits.get(toxic, wide) / wide for toxic in (1, 0))
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], rates
 
 

@@ -1,9 +1,10 @@
 """URL filters by association rules.
 
 Each url becomes a set of typed tokens (host labels, path segments, query keys; digits as ``#``).
-FP-growth over the labelled pages finds token sets that go with the label ``block``; rules below a
-support or confidence, and rules that a shorter one with as much confidence makes needless, are
-pruned. Pages meet rules by an inverted index on each rule's rarest token. A short list of written
+FP-growth over the labelled pages finds token sets that go with the label ``block``; tokens that stand on the
+same pages are mined as one, so a long url on many pages gives no sets of its own tokens. Rules below a
+support or confidence, rules that chance explains (given the number of sets looked at), and rules that one with a token
+less and as much confidence makes needless are pruned. Pages meet rules by an inverted index on each rule's rarest token. A short list of written
 rules (host and path prefix) decides first.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no token and the
@@ -14,6 +15,7 @@ columns, of any name, are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -26,6 +28,8 @@ LABEL = "=block"
 #: A rule needs this share of the labelled pages, and so many pages (all of them where there are fewer).
 MIN_SUPPORT, MIN_PAGES = 0.002, 10
 MIN_CONFIDENCE = 0.5
+#: Rules that chance alone would give are expected in this share of cases at most, over all sets looked at.
+CHANCE = 0.05
 #: Mined rules are broadcast up to so many, else joined by a shuffle.
 BROADCAST_RULES = 100_000
 #: (action, rule), a rule being host and path prefix.
@@ -63,23 +67,51 @@ def written_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<size:int,rule:string,action:string>")
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id, antecedent, confidence, support, lift of token sets that go with low quality or toxicity.
+def merge_equal_tokens(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with one token for all that stand in the same rows; token, rep of every token): items(row, items).
+
+    Rows are compared by their number and two 64-bit sums of hashes."""
+    tokens = items.select("row", F.explode("items").alias("token"))
+    rows = tokens.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+    first = rows.groupBy("n", "a", "b").agg(F.min("token").alias("rep"))
+    reps = materialise(rows.join(first, ["n", "a", "b"]).select("token", "rep"), "url-tokens")
+    short = salted_join(tokens, reps, "token").groupBy("row").agg(F.collect_set("rep").alias("items"))
+    return short, reps
+
+
+def beyond_chance(rules: DataFrame, n: int, base: float, candidates: int, chance: float = CHANCE) -> DataFrame:
+    """Rules whose hits a binomial of the base rate reaches with less than chance / candidates, by Chernoff's bound; all with an infinite chance."""
+    if math.isinf(chance):
+        return rules
+    hits, share = F.col("support") * n, F.col("confidence")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / F.lit(y))).otherwise(0.0)
+    divergence = part(share, max(base, 1e-300)) + part(1 - share, max(1 - base, 1e-300))
+    return rules.filter((share > base) & (hits / share * divergence >= math.log(max(candidates, 1) / chance)))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, chance: float = CHANCE) -> DataFrame:
+    """antecedent, confidence, support, lift of token sets that go with low quality or toxicity.
 
     pages: id and url; labels: the same id and a boolean `block`. Labelled rows count, equal urls included."""
     spark = pages.sparkSession
-    items = (pages.join(labels, "id").select(F.col("url"), F.col("block"))
-        .select(F.concat(url_tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
-        .filter(F.size("items") > 0))
-    empty = "antecedent array<string>, confidence double, support double, lift double"
-    n = items.count()
-    if not n:
-        return spark.createDataFrame([], empty)
+    labelled = pages.join(labels, "id").select(url_tokens(F.col("url")).alias("items"), "block").filter(F.size("items") > 0)
+    labelled = materialise(labelled.withColumn("row", F.monotonically_increasing_id()), "url-items")
+    n, blocked = labelled.agg(F.count("*"), F.count_if("block")).first()
+    if not n or not blocked:
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double")
+    merged, reps = merge_equal_tokens(labelled.select("row", "items"))
+    items = salted_join(labelled.select("row", "block"), merged, "row", salts=1).select(F.concat("items", F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_PAGES / n)), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
-    rules = model.associationRules.filter(F.array_contains("consequent", LABEL)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
+    candidates = model.freqItemsets.filter(~F.array_contains("items", LABEL)).count()
+    rules = model.associationRules.filter(F.array_contains("consequent", LABEL)).select("antecedent", "confidence", "support", "lift")
+    rules = materialise(beyond_chance(rules, n, blocked / n, candidates, chance).withColumn("rule", F.monotonically_increasing_id()), "url-rules")
+    # a rule of merged tokens holds for each of them: all choices of one token for each place
+    kinds = rules.select("rule", F.posexplode("antecedent").alias("place", "rep")).join(reps, "rep").groupBy("rule", "place").agg(F.collect_set("token").alias("tokens")).groupBy("rule").agg(F.collect_list("tokens").alias("choices"))
+    sets = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda sets, tokens: F.flatten(F.transform(sets, lambda x: F.transform(tokens, lambda t: F.array_append(x, t)))))
+    rules = rules.drop("antecedent").join(kinds, "rule").select(F.explode(sets).alias("antecedent"), "confidence", "support", "lift").withColumn("antecedent", F.array_sort("antecedent"))
     rules = materialise(rules, "url-rules")
     shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
-    # a rule is needless if dropping tokens leaves a rule at least as sure; parts are looked up, not compared pairwise
+    # a rule is needless if dropping a token leaves a rule at least as sure; parts are looked up, not compared pairwise
     parts = rules.select("antecedent", "confidence", F.explode(F.transform("antecedent", lambda x: F.array_except(F.col("antecedent"), F.array(x)))).alias("part"))
     needless = parts.join(shorter, "part").filter("as_sure >= confidence").select("antecedent").distinct()
     return rules.join(needless, "antecedent", "left_anti")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -463,7 +464,7 @@ def test_mined_rules_equal_enumeration(spark):
         rows.append((i, f"http://{r.choice(['a', 'b'])}.com/" + "/".join(segments), bad))
     rows += [(1500 + i, rows[i][1], rows[i][2]) for i in range(40)]
     pages, labels = spark.createDataFrame([x[:2] for x in rows], "id long, url string"), spark.createDataFrame([(i, b) for i, _, b in rows], "id long, block boolean")
-    got = {tuple(x.antecedent): round(x.confidence, 9) for x in url_rules.mine_rules(pages, labels, 0.02, 0.5).collect()}
+    got = {tuple(x.antecedent): round(x.confidence, 9) for x in url_rules.mine_rules(pages, labels, 0.02, 0.5, float("inf")).collect()}
     sets = []
     for _, url, bad in rows:
         host, *path = url[len("http://"):].split("/")
@@ -482,10 +483,33 @@ def test_mined_rules_equal_enumeration(spark):
 
 def test_few_pages_are_mined_too(spark):
     pages = spark.createDataFrame([(i, f"http://x.com/{'bad' if i < 3 else 'good'}") for i in range(3)], "id long, url string")
-    mined = url_rules.mine_rules(pages, spark.createDataFrame([(i, True) for i in range(3)], "id long, block boolean"))
+    mined = url_rules.mine_rules(pages, spark.createDataFrame([(i, True) for i in range(3)], "id long, block boolean"), chance=float("inf"))
     assert {tuple(r.antecedent) for r in mined.collect()} == {("h:com",), ("h:x",), ("p:bad",)}
 
 
+def test_chance_gives_no_rules(spark):
+    """Labels that do not depend on the url: no rule, though some sets reach the confidence; a planted token stays."""
+    for seed in range(6):
+        r = random.Random(seed)
+        urls = [f"http://{r.choice('abc')}.com/" + "/".join(r.sample(["shop", "win", "news", "blog", "x", "y"], 3)) for _ in range(400)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "id long, url string")
+        shuffled = spark.createDataFrame([(i, r.random() < 0.35) for i in range(400)], "id long, block boolean")
+        assert url_rules.mine_rules(pages, shuffled, 0.01).count() == 0
+        assert seed or url_rules.mine_rules(pages, shuffled, 0.01, chance=float("inf")).count() > 0
+    planted = spark.createDataFrame([(i, "/win" in u and r.random() < 0.8 or r.random() < 0.05) for i, u in enumerate(urls)], "id long, block boolean")
+    assert ("p:win",) in {tuple(x.antecedent) for x in url_rules.mine_rules(pages, planted, 0.01).collect()}
+
+
+def test_a_long_url_on_many_pages(spark):
+    """Sixty tokens that always stand together are mined as one, and each of them makes a rule."""
+    long = "http://long.org/" + "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(58))
+    rows = [(i, long if i % 4 == 0 else f"http://other.com/{'good' if i % 2 else 'fine'}") for i in range(200)]
+    marks = spark.createDataFrame([(i, i % 4 == 0) for i in range(200)], "id long, block boolean")
+    began = time.monotonic()
+    mined = {tuple(x.antecedent) for x in url_rules.mine_rules(spark.createDataFrame(rows, "id long, url string"), marks).collect()}
+    assert len(mined) == 60 and all(len(x) == 1 for x in mined) and ("p:saa",) in mined and time.monotonic() - began < 120
+
+
 def test_mixtures_equal_an_exhaustive_search():
     """Every set of languages by plain expectation maximisation to convergence; the chosen set has the best penalised likelihood."""
     r = np.random.default_rng(4)
