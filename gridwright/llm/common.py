@@ -190,8 +190,9 @@ class PieceEncoder:
 
     #: A line break beside other white space, where a text is not cut.
     BESIDE_BREAK = re.compile(r"\n(?:\s|(?<=\s\n))")
-    #: Pieces kept in each of two generations; what the older one holds is kept if used again.
-    KEEP = 500_000
+    #: Pieces kept in each of two generations; what the older one holds is kept if used again. Longer ones (texts
+    #: without spaces, codes) are encoded whenever they come, so what is kept has a bound in bytes as well.
+    KEEP, KEEP_CHARS = 500_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -301,8 +302,10 @@ class PieceEncoder:
         known = list(map(kept.get, kinds))
         missing = {p for p, x in zip(kinds, known, strict=True) if x is None}
         if missing:
-            self._learn(missing)
-            known = [kept[p] if x is None else x for p, x in zip(kinds, known, strict=True)]
+            long = [p for p in missing if len(p) > self.KEEP_CHARS]
+            self._learn(missing.difference(long))
+            passing = dict(zip(long, self._whole(long), strict=True)) if long else {}
+            known = [(passing[p] if p in passing else kept[p]) if x is None else x for p, x in zip(kinds, known, strict=True)]
         n = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         first = np.cumsum(n) - n
         at = pieces.indices.to_numpy()

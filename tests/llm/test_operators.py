@@ -72,6 +72,26 @@ def test_pieces_equal_the_library(library):
         assert x.tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_kept_pieces_have_a_bound_in_bytes(library):
+    """Texts without spaces, each a piece of its own: right ids, and nothing of them is kept."""
+    e = PieceEncoder(tokenizer_path())
+    r = random.Random(6)
+    texts = ["".join(r.choice("\u4e2d\u6587\u5b57abc=") for _ in range(r.randint(49, 3000))) for _ in range(60)] + ["short words only, here.", "x" * 49 + " y"]
+    for t, x in zip(texts, e.encode(texts), strict=True):
+        assert x.tolist() == library.encode(t, add_special_tokens=False).ids
+    assert max(map(len, e.kept)) <= e.KEEP_CHARS and len(e.kept) < 30
+
+
+def test_dropped_lines_take_linear_time(spark):
+    n = 100_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: i.cast("string")).alias("lines"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (2 * i).cast("int")).alias("gone"))
+    began = time.monotonic()
+    kept = df.select(line_templates.lines_between(F.col("lines"), F.col("gone")).alias("k")).first().k
+    assert kept == [str(i) for i in range(1, 2 * n, 2)] and time.monotonic() - began < 20
+    few = spark.createDataFrame([(["a", "b", "c"], g) for g in ([0], [2], [1], [0, 1, 2], [])], "lines array<string>, gone array<int>")
+    assert [r.k for r in few.select(line_templates.lines_between(F.col("lines"), F.col("gone")).alias("k")).collect()] == [["b", "c"], ["a", "b"], ["a", "c"], [], ["a", "b", "c"]]
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10**6), (3000, 40)):
