@@ -52,6 +52,12 @@ def route_length(route: DataFrame, cell_size: float = 100.0) -> DataFrame:
     return steps(route).groupBy("preset").agg(F.coalesce(F.sum(F.when(d == 1, length)), F.lit(0.0)).alias("length_m"), F.count("dr").alias("steps"), F.count_if(d != 1).alias("bad_steps"))
 
 
+def route_boxes(route: DataFrame, west: float, north: float, cell: float) -> DataFrame:
+    """preset, west, south, east, north of each route's cells on a grid with that corner."""
+    by = route.groupBy("preset").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
+    return by.select("preset", (west + F.col("c0") * cell).alias("west"), (north - (F.col("r1") + 1) * cell).alias("south"), (west + (F.col("c1") + 1) * cell).alias("east"), (north - F.col("r0") * cell).alias("north"))
+
+
 def direction_quality(route: DataFrame, rows: int, cols: int) -> DataFrame:
     """Diagonal steps, turns and border cells of a route, as counts and as shares."""
     x = steps(route).withColumns({"pr": F.lag("dr").over(in_order()), "pc": F.lag("dc").over(in_order())})

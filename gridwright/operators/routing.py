@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Row and column steps in the order in which neighbours are looked at (fixed values).
@@ -117,6 +117,20 @@ def edges_8n(cells: DataFrame) -> DataFrame:
     return straight.unionByName(diagonal).select("row", "col", "to_row", "to_col", ((F.col("cost") + F.col("to_cost")) / 2 * F.col("length")).alias("weight"))
 
 
+def illegal_steps(routes: DataFrame, cells: DataFrame, key: str = "preset") -> DataFrame:
+    """key, illegal_steps of routes(key, step, row, col) over cells(key, row, col, cost): cells that are blocked, steps to
+    no neighbour, and diagonal steps past a blocked corner."""
+    free = cells.filter(F.col("cost").isNotNull() & (F.col("cost") < float("inf"))).select(key, "row", "col", F.lit(True).alias("open"))
+    w = Window.partitionBy(key).orderBy("step")
+    x = routes.select(key, "step", "row", "col", F.lag("row").over(w).alias("r"), F.lag("col").over(w).alias("c"))
+    here = x.join(free, [key, "row", "col"], "left").withColumnRenamed("open", "free")
+    corner = lambda name, r, c: free.select(key, F.col("row").alias(r), F.col("col").alias(c), F.col("open").alias(name))
+    both = here.join(corner("past", "row", "c"), [key, "row", "c"], "left").join(corner("over", "r", "col"), [key, "r", "col"], "left")
+    dr, dc = F.abs(F.col("row") - F.col("r")), F.abs(F.col("col") - F.col("c"))
+    ok = F.col("free").isNotNull() & (F.col("r").isNull() | ((F.greatest(dr, dc) == 1) & ((dr + dc == 1) | (F.col("past").isNotNull() & F.col("over").isNotNull()))))
+    return both.groupBy(key).agg(F.count_if(~ok).cast("int").alias("illegal_steps"))
+
+
 def _relax(cost: np.ndarray, dist: np.ndarray, seeds: list[int]) -> set[int]:
     """Lower dist from the seeds on, in place; both are flat with one blocked cell around. Returns what fell."""
     width = int(math.isqrt(len(cost)))

@@ -44,22 +44,28 @@ def route_slope_stats(spark, sf_dir):
     return out.select("preset", *(F.round(c, 6).alias(c) for c in out.columns if c != "preset"))
 
 
-_STEPS = f"WITH {b.ROUTES}, s AS (SELECT *, row - lag(row) OVER w AS dr, col - lag(col) OVER w AS dc FROM routes WINDOW w AS (PARTITION BY preset ORDER BY step))"
+_STEPS = f"WITH {b.WALKS}, s AS (SELECT *, row - lag(row) OVER w AS dr, col - lag(col) OVER w AS dc FROM walks WINDOW w AS (PARTITION BY preset ORDER BY step))"
 
 
 @R.query(f"{_STEPS} SELECT preset, round(coalesce(sum(CASE WHEN abs(dr) + abs(dc) = 2 THEN 100 * sqrt(2.0) ELSE 100 END) FILTER (greatest(abs(dr), abs(dc)) = 1), 0), 3) AS length_m, count(dr) AS steps, count(*) FILTER (greatest(abs(dr), abs(dc)) <> 1) AS bad_steps FROM s GROUP BY preset")
 def route_length(spark, sf_dir):
-    return assess.route_length(b.routes(spark)).withColumn("length_m", F.round("length_m", 3))
+    return assess.route_length(b.walks(spark, sf_dir)).withColumn("length_m", F.round("length_m", 3))
 
 
 @R.query(f"""{_STEPS}, t AS (SELECT *, lag(dr) OVER w AS pr, lag(dc) OVER w AS pc FROM s WINDOW w AS (PARTITION BY preset ORDER BY step)),
 c AS (SELECT preset, count(*) AS cells, count(dr) AS steps, count(*) FILTER (dr <> 0 AND dc <> 0) AS diagonals, count(*) FILTER (pr <> dr OR pc <> dc) AS turns, count(*) FILTER (row IN (0, {b.N - 1}) OR col IN (0, {b.N - 1})) AS border FROM t GROUP BY preset)
 SELECT *, round(CASE WHEN steps > 0 THEN diagonals / steps ELSE 0 END, 9) AS diagonal_share, round(turns / greatest(1, steps - 1), 9) AS turn_share, round(border / cells, 9) AS border_share FROM c""")
 def direction_quality(spark, sf_dir):
-    out = assess.direction_quality(b.routes(spark), b.N, b.N)
+    out = assess.direction_quality(b.walks(spark, sf_dir), b.N, b.N)
     return out.withColumns({c: F.round(c, 9) for c in ("diagonal_share", "turn_share", "border_share")})
 
 
+@R.query(f"WITH {b.WALKS} SELECT preset, min(col) * 100.0 AS west, {b.N * 100} - (max(row) + 1) * 100.0 AS south, (max(col) + 1) * 100.0 AS east, {b.N * 100} - min(row) * 100.0 AS north FROM walks GROUP BY preset")
+def route_boxes(spark, sf_dir):
+    """The box of each route, from its cells' outer edges."""
+    return assess.route_boxes(b.walks(spark, sf_dir), 0.0, b.N * 100.0, 100.0)
+
+
 _CLASSES = f"WITH {b.CELLS}, {b.ROUTES}, k AS (SELECT preset, value, count(*) AS cells FROM routes JOIN cells USING (row, col) GROUP BY ALL)"
 
 

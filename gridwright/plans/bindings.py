@@ -59,6 +59,14 @@ def routes(spark: SparkSession) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """preset, step, row, col: a route for each customer, one step an order, to a neighbour or on the spot."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("preset"), "o_orderkey", (F.expr("o_orderkey div 3") % 3 - 1).cast("int").alias("dr"), (F.col("o_orderkey") % 3 - 1).cast("int").alias("dc"))
+    w = Window.partitionBy("preset").orderBy("o_orderkey")
+    place = lambda c: (N // 2 + F.sum(c).over(w)).cast("int")
+    return o.select("preset", (F.row_number().over(w) - 1).alias("step"), place("dr").alias("row"), place("dc").alias("col"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, seq, x1, y1, x2, y2: all events of each user as one line, x from value, y from the order."""
     e = table(spark, sf_dir, "events").filter("value is not null").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
@@ -100,6 +108,10 @@ ROUTES = f"""routes AS (
   UNION ALL SELECT 'balanced', s::INT, (s // 2)::INT, ((s + 1) // 2)::INT FROM range({2 * N - 1}) t(s)
   UNION ALL SELECT 'environmental', s::INT, ((s + 1) // 2)::INT, (s // 2)::INT FROM range({2 * N - 1}) t(s)
 )"""
+WALKS = f"""walks AS (
+  SELECT o_custkey AS preset, row_number() OVER w - 1 AS step, ({N // 2} + sum(o_orderkey // 3 % 3 - 1) OVER w)::INT AS row, ({N // 2} + sum(o_orderkey % 3 - 1) OVER w)::INT AS col
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)
+)"""
 EDGES = """steps AS (SELECT dr, dc FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE dr <> 0 OR dc <> 0
 ), free AS (SELECT row, col, cost FROM surface WHERE preset = 'balanced' AND NOT isinf(cost)
 ), edges AS (
@@ -114,6 +126,20 @@ DISTANCES = f"""WITH RECURSIVE {SURFACE}, {EDGES}, dist(row, col, distance) USIN
     LEFT JOIN recurring.dist k ON k.row = e.to_row AND k.col = e.to_col
   WHERE k.distance IS NULL OR d.distance + e.weight < k.distance GROUP BY ALL
 )"""
+# the same for every preset: edges and distances carry it
+ALL_DISTANCES = f"""WITH RECURSIVE {SURFACE}, steps AS (SELECT dr, dc FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE dr <> 0 OR dc <> 0
+), free AS (SELECT preset, row, col, cost FROM surface WHERE NOT isinf(cost)
+), edges AS (
+  SELECT f.preset, f.row, f.col, t.row AS to_row, t.col AS to_col, (f.cost + t.cost) / 2 * CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0) ELSE 1.0 END AS weight
+  FROM free f, steps JOIN free t ON t.preset = f.preset AND t.row = f.row + dr AND t.col = f.col + dc
+  WHERE dr = 0 OR dc = 0 OR (EXISTS (FROM free x WHERE x.preset = f.preset AND x.row = f.row AND x.col = f.col + dc) AND EXISTS (FROM free y WHERE y.preset = f.preset AND y.row = f.row + dr AND y.col = f.col))
+), dist(preset, row, col, distance) USING KEY (preset, row, col) AS (
+  SELECT DISTINCT preset, 0, 0, 0.0::DOUBLE FROM presets
+  UNION
+  SELECT e.preset, e.to_row, e.to_col, min(d.distance + e.weight) FROM dist d JOIN edges e ON e.preset = d.preset AND e.row = d.row AND e.col = d.col
+    LEFT JOIN recurring.dist k ON k.preset = e.preset AND k.row = e.to_row AND k.col = e.to_col
+  WHERE k.distance IS NULL OR d.distance + e.weight < k.distance GROUP BY ALL
+)"""
 LINES = """ordered AS (
   SELECT user_id, event_id, round(value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id, round(value * 100)::BIGINT) - 1 AS i FROM events WHERE value IS NOT NULL
 ), points AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_major_road
-from ..operators import report, routing, vector
+from ..operators import repair, report, routing, vector
 from . import bindings as b
 from .assessment import _SUMS, _weights
 from .registry import Registry
@@ -84,6 +84,26 @@ def route_impact_totals(spark, sf_dir):
     return report.impact_totals(_inventory(spark, sf_dir, b.routes(spark)))
 
 
+# five kinds of broken rings of the customers, by closed formulas: bow ties, spikes, holes, overlapping rectangles, flat rings
+@R.query("""WITH k AS (SELECT c_custkey AS id, c_custkey % 5 AS kind, (c_custkey % 4 + 1) * 100.0 AS w, (c_custkey % 3 + 1) * 100.0 AS h FROM customer)
+SELECT id, CASE WHEN kind IN (0, 3) THEN 2 WHEN kind = 4 THEN 0 ELSE 1 END AS parts, (kind = 2)::INT AS holes, CASE kind WHEN 0 THEN w * h / 2 WHEN 1 THEN w * h WHEN 2 THEN w * h - w * h / 16 WHEN 3 THEN 1.5 * w * h ELSE 0 END AS area, CASE WHEN kind = 4 THEN 'empty' END AS problem FROM k""")
+def repair_areas(spark, sf_dir):
+    """Broken rings repaired: their parts, holes and areas, and what cannot be repaired."""
+    k = F.col("c_custkey")
+    w, h = (k % 4 + 1) * 100.0, (k % 3 + 1) * 100.0
+    x, y = 330_000.0 + k % 97 * 10.0, 6_380_000.0 + k % 89 * 10.0
+    path = lambda *points: F.array(*(F.array(x + px * w, y + py * h) for px, py in (*points, points[0])))
+    square = ((0, 0), (1, 0), (1, 1), (0, 1))
+    rings = (F.when(k % 5 == 0, F.array(path((0, 0), (1, 1), (1, 0), (0, 1))))
+        .when(k % 5 == 1, F.array(path((0, 0), (1, 0), (1, 0.5), (3, 0.5), (1, 0.5), (1, 1), (0, 1))))
+        .when(k % 5 == 2, F.array(path(*square), path((0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.5))))
+        .when(k % 5 == 3, F.array(path(*square), path(*((a + 0.5, c + 0.5) for a, c in square))))
+        .otherwise(F.array(path((0, 0), (1, 0), (0.5, 0)))))
+    segments = vector.polyline_segments(b.table(spark, sf_dir, "customer").select(k.alias("id"), rings.alias("paths")))
+    found, problems = repair.repair(segments, 150.0)
+    return repair.ring_totals(found).select("id", "parts", "holes", F.round("area", 2).alias("area"), F.lit(None).cast("string").alias("problem")).unionByName(problems.select("id", F.lit(0).cast("long").alias("parts"), F.lit(0).cast("long").alias("holes"), F.lit(0.0).alias("area"), "problem"))
+
+
 def _flat(assessed):
     six = {c: F.round(c, 6) for c in ("length_m", "length_km", "mean_terrain", "max_terrain", "mean_slope", "max_slope", "exposure")}
     deltas = {c: F.round(c, 6) + F.lit(0.0) for c in ("delta_km", "delta_exposure")}

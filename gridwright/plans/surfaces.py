@@ -15,14 +15,15 @@ from .registry import Registry
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
-ENVELOPE = (150.82, -33.15, 151.62, -32.27)
 TM, LCC = TransverseMercator(), LambertConic()
 #: Places of the customers table in degrees, for projections.
 PLACES = "SELECT c_custkey AS id, 150.82 + (c_custkey * 7919 % 10007) / 10007.0 * 0.8 AS lon, -33.15 + (c_custkey * 104729 % 10007) / 10007.0 * 0.88 AS lat FROM customer"
 
 
-def envelope(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([ENVELOPE], "west double, south double, east double, north double")
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of the places, in degrees: one row."""
+    p = places(spark, sf_dir)
+    return p.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,15 @@ def least_cost_path(spark, sf_dir):
     return r.groupBy("preset").agg(F.round(F.max("route_cost"), 6).alias("route_cost"))
 
 
+@R.query(f"{b.ALL_DISTANCES} SELECT preset, round(distance, 6) AS route_cost, 0 AS illegal_steps FROM dist WHERE row = {b.N - 1} AND col = {b.N - 1}")
+def preset_route_costs(spark, sf_dir):
+    """The cost of each preset's route, and its steps that the grid does not allow; cells depend on ties, these do not."""
+    surface = b.surface(spark, sf_dir)
+    found = routing.route_groups(surface, b.START, b.GOAL)
+    costs = found.groupBy("preset").agg(F.round(F.max("route_cost"), 6).alias("route_cost"))
+    return costs.join(routing.illegal_steps(found, surface), "preset")
+
+
 @R.query()
 def preset_routes(spark, sf_dir):
     """Paths of all presets at once; ties are settled by search order, so there is no SQL for the cells."""
@@ -116,14 +126,15 @@ def class_domain_check(spark, sf_dir):
     return outside_domain(b.cells(spark, sf_dir), b.table(spark, sf_dir, "nation").filter("n_nationkey < 9").select(F.col("n_nationkey").alias("value")))
 
 
-_CORNERS = "corners AS (SELECT 0 AS id, lon, lat FROM (VALUES (150.82), (151.62)) a(lon), (VALUES (-33.15), (-32.27)) b(lat))"
+_BOX = f"box AS (SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM ({PLACES}))"
+_CORNERS = f"{_BOX}, corners AS (SELECT 0 AS id, west AS lon, south AS lat FROM box UNION ALL SELECT 0, west, north FROM box UNION ALL SELECT 0, east, south FROM box UNION ALL SELECT 0, east, north FROM box)"
 
 
 @R.query(f"""WITH {_CORNERS}, {sql_geo.transverse_mercator('corners')}, f AS (SELECT floor(min(x) / 100) AS w, floor(min(y) / 100) AS s, ceil(max(x) / 100) AS e, ceil(max(y) / 100) AS n FROM tm)
 SELECT (n - s)::INT AS rows, (e - w)::INT AS cols, ((n - s) * (e - w))::INT AS cells, w * 100 AS west, n * 100 AS north FROM f""")
 def grid_generate(spark, sf_dir):
-    """The study area's grid of 100 m cells: 990 rows, 767 columns."""
-    frame = grid.grid_frame(spark, envelope(spark), 100.0, TM)
+    """The grid of 100 m cells over all places, and its cells counted one by one."""
+    frame = grid.grid_frame(spark, envelope(spark, sf_dir), 100.0, TM)
     n = grid.all_cells(frame).agg(F.count("*").cast("int").alias("cells"))
     return frame.select("rows", "cols", F.col("x1").cast("double").alias("west"), F.col("y2").cast("double").alias("north")).crossJoin(n)  # one row each
 
@@ -162,16 +173,17 @@ def snap_offset(spark, sf_dir):
     return p.select("id", F.round(F.hypot(F.col("x") - cx, F.col("y") - cy), 3).alias("offset_m"))
 
 
-@R.query(f"WITH {b.ROUTES} SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM routes")
+@R.query(f"WITH {b.WALKS} SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM walks")
 def cell_centre(spark, sf_dir):
+    """Centres of the cells that the customers' routes pass."""
     x, y = grid.centre_of(F.col("row"), F.col("col"), WEST, NORTH, 100.0)
-    return b.routes(spark).select("preset", "step", x.alias("x"), y.alias("y"))
+    return b.walks(spark, sf_dir).select("preset", "step", x.alias("x"), y.alias("y"))
 
 
 _LON, _LAT = TM.inverse_sql("x", "y")
 
 
-@R.query(f"WITH {b.ROUTES}, c AS (SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM routes), {sql_geo.inverse_transverse_mercator('c')} SELECT preset, step, round(lon, 7) AS lon, round(lat, 7) AS lat FROM lonlat")
+@R.query(f"WITH {b.WALKS}, c AS (SELECT preset, step, ({WEST} + (col + 0.5) * 100)::DOUBLE AS x, ({NORTH} - (row + 0.5) * 100)::DOUBLE AS y FROM walks), {sql_geo.inverse_transverse_mercator('c')} SELECT preset, step, round(lon, 7) AS lon, round(lat, 7) AS lat FROM lonlat")
 def cell_lonlat(spark, sf_dir):
     lon, lat = columns((_LON, _LAT))
     return cell_centre(spark, sf_dir).select("preset", "step", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
@@ -237,11 +249,15 @@ def grid_explode(spark, sf_dir):
     return explode_grids(bundle).withColumn("value", F.round("value", 6))
 
 
-@R.query(f"SELECT tile::INT AS tile, round(150.82 + i * 0.25, 9)::DOUBLE AS west, round(-33.15 + j * 0.25, 9)::DOUBLE AS south, round(least(151.62, 150.82 + (i + 1) * 0.25), 9)::DOUBLE AS east, round(least(-32.27, -33.15 + (j + 1) * 0.25), 9)::DOUBLE AS north FROM (SELECT j * 4 + i AS tile, i, j FROM range(4) a(i), range(4) b(j))")
+@R.query(f"""WITH {_BOX}, n AS (SELECT *, ceil((east - west) / 0.25 - 1e-9)::INT AS nx, ceil((north - south) / 0.25 - 1e-9)::INT AS ny FROM box), t AS (SELECT *, unnest(range(nx * ny)) AS i FROM n)
+SELECT i::INT AS tile, round(west + (i % nx) * 0.25, 9) AS west, round(south + (i // nx) * 0.25, 9) AS south, round(least(east, west + (i % nx + 1) * 0.25), 9) AS east, round(least(north, south + (i // nx + 1) * 0.25), 9) AS north FROM t""")
 def tile_envelopes(spark, sf_dir):
-    return grid.tile_envelopes(envelope(spark), 0.25).withColumns({c: F.round(c, 9) for c in ("west", "south", "east", "north")})
+    """Quarter-degree tiles of the box of all places."""
+    return grid.tile_envelopes(envelope(spark, sf_dir), 0.25).withColumns({c: F.round(c, 9) for c in ("west", "south", "east", "north")})
 
 
-@R.query("SELECT lat::INT AS lat, lon::INT AS lon, 'Copernicus_DSM_COG_10_S' || lpad((-lat)::VARCHAR, 2, '0') || '_00_E' || lpad(lon::VARCHAR, 3, '0') || '_00_DEM' AS tile_id FROM (VALUES (-34), (-33)) a(lat), (VALUES (150), (151)) b(lon)")
+@R.query(f"""WITH {_BOX} SELECT lat::INT AS lat, lon::INT AS lon, 'Copernicus_DSM_COG_10_' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || lpad(abs(lat)::VARCHAR, 2, '0') || '_00_' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || lpad(abs(lon)::VARCHAR, 3, '0') || '_00_DEM' AS tile_id
+FROM box, range(-90, 90) a(lat), range(-180, 180) b(lon) WHERE lat < north AND lat + 1 > south AND lon < east AND lon + 1 > west""")
 def dem_tile_ids(spark, sf_dir):
-    return grid.dem_tile_ids(envelope(spark))
+    """Height tiles under the box of all places."""
+    return grid.dem_tile_ids(envelope(spark, sf_dir))
