@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 import struct
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
+#: Bytes of a member that are inflated at once.
+CHUNK = 1 << 20
 MEMBERS = "path string, name string, size long, crc long, kind string, unsafe boolean, intact boolean"
 
 
@@ -25,23 +30,46 @@ def member_unsafe(name: Column) -> Column:
     return F.contains(name, F.lit("..")) | name.startswith("/")
 
 
-def read_members(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
-    """MEMBERS of every ZIP file under the path, nothing extracted; more members than `most` fail the read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _directories(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """path, name, size, crc, link of every member of every ZIP file under the path, from the archives' directories alone."""
+    files = spark.read.format("binaryFile").load(path).select("path")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in frame["path"]:
+                with ranges.open_file(name) as file, zipfile.ZipFile(file) as z:
                     infos = z.infolist()
                     if len(infos) > most:
                         raise ValueError(f"{name}: more than {most} members")
-                    broken = z.testzip()
-                    rows += [(name, i.filename, i.file_size, i.CRC, i.external_attr >> 28 == 0xA, i.filename != broken) for i in infos]
-            yield pd.DataFrame(rows, columns=["path", "name", "size", "crc", "link", "intact"])
+                    rows += [(name, i.filename, i.file_size, i.CRC, i.external_attr >> 28 == 0xA) for i in infos]
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "crc", "link"])
+
+    return files.mapInPandas(each, "path string, name string, size long, crc long, link boolean")
+
+
+def _intact(path: str, name: str) -> bool:
+    """Does a member inflate to its checksum? Read piece by piece."""
+    try:
+        with ranges.open_file(path) as file, zipfile.ZipFile(file) as z, z.open(name) as member:
+            while member.read(CHUNK):
+                pass
+    except (zipfile.BadZipFile, zlib.error, EOFError, ValueError):
+        return False
+    return True
+
+
+def read_members(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
+    """MEMBERS of every ZIP file under the path, nothing extracted; more members than `most` fail the read.
+
+    An archive is never loaded: its directory is read in ranges, and members are checked in parallel, each piece by piece."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(intact=[_intact(p, n) for p, n in zip(frame["path"], frame["name"], strict=True)])
 
-    x = files.mapInPandas(each, "path string, name string, size long, crc long, link boolean, intact boolean")
+    listed = _directories(spark, path, most).repartition(F.col("path"), F.col("name"))
+    x = listed.mapInPandas(each, "path string, name string, size long, crc long, link boolean, intact boolean")
     return x.select("path", "name", "size", "crc", member_kind(F.col("name")).alias("kind"), (member_unsafe(F.col("name")) | F.col("link")).alias("unsafe"), "intact")
 
 
@@ -62,24 +90,55 @@ def persistent_path(path: str, roots: list[str]) -> str:
 
 
 def unpack(spark: SparkSession, path: str, members: list[str], most_bytes: int) -> DataFrame:
-    """path, name, content of the named members of every ZIP under the path, and of no others.
+    """path, name, content of the named members of every ZIP under the path, and of no others; a task inflates one member.
 
     A member that is unsafe, missing or a link, and more than most_bytes from one archive, fail the read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def allowed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in frame["path"]:
+                with ranges.open_file(name) as file, zipfile.ZipFile(file) as z:
                     infos = [z.getinfo(m) for m in members]
-                    if any(".." in i.filename or i.filename.startswith("/") or i.external_attr >> 28 == 0xA for i in infos):
-                        raise ValueError(f"{name}: a member may not be unpacked")
-                    if sum(i.file_size for i in infos) > most_bytes:
-                        raise ValueError(f"{name}: more than {most_bytes} bytes")
-                    for i in infos:
-                        yield pd.DataFrame({"path": [name], "name": [i.filename], "content": [z.read(i)]})
+                if any(".." in i.filename or i.filename.startswith("/") or i.external_attr >> 28 == 0xA for i in infos):
+                    raise ValueError(f"{name}: a member may not be unpacked")
+                if sum(i.file_size for i in infos) > most_bytes:
+                    raise ValueError(f"{name}: more than {most_bytes} bytes")
+                yield pd.DataFrame({"path": [name] * len(infos), "name": [i.filename for i in infos]})
+
+    def inflate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, member in zip(frame["path"], frame["name"], strict=True):
+                with ranges.open_file(name) as file, zipfile.ZipFile(file) as z:
+                    yield pd.DataFrame({"path": [name], "name": [member], "content": [z.read(member)]})
+
+    wanted = files.mapInPandas(allowed, "path string, name string").repartition(F.col("path"), F.col("name"))
+    return wanted.mapInPandas(inflate, "path string, name string, content binary")
+
+
+def unpack_to(spark: SparkSession, path: str, members: list[str], most_bytes: int, folder: str) -> DataFrame:
+    """path, name, bytes of the named members, written as files under a folder that all machines share, piece by piece.
+
+    A file appears under its name when it is whole; members of any size pass in bounded memory."""
+    checked = _directories(spark, path, 1_000_000).filter(F.col("name").isin(members))
+    rows = checked.groupBy("path").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max(member_unsafe(F.col("name")) | F.col("link")).alias("bad"))
+    for r in rows.filter((F.col("bytes") > most_bytes) | F.col("bad") | (F.col("n") != len(members))).limit(1).collect():
+        raise ValueError(f"{r.path}: members are missing, may not be unpacked, or have more than {most_bytes} bytes")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = ranges.file_system(folder)
+        for frame in frames:
+            for archive, name, size in zip(frame["path"], frame["name"], frame["size"], strict=True):
+                to = posixpath.join(root, posixpath.basename(archive), name)
+                store.create_dir(posixpath.dirname(to), recursive=True)
+                beside = f"{to}.{uuid.uuid4().hex}"
+                with ranges.open_file(archive) as file, zipfile.ZipFile(file) as z, z.open(name) as member, store.open_output_stream(beside) as out:
+                    while piece := member.read(CHUNK):
+                        out.write(piece)
+                store.move(beside, to)
+                yield pd.DataFrame({"path": [to], "name": [name], "bytes": [size]})
 
-    return files.mapInPandas(each, "path string, name string, content binary")
+    return checked.select("path", "name", "size").repartition(F.col("path"), F.col("name")).mapInPandas(each, "path string, name string, bytes long")
 
 
 def parse_dbf(data: bytes) -> tuple[list[str], list[dict]]:
@@ -109,12 +168,12 @@ def read_classes(spark: SparkSession, path: str, member: str | None, names: dict
 
     names: output column by field of the table. Without a member, the archive's only `.tif.vat.dbf` is read, and
     an archive with none or several has no classes."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for archive in frame["path"]:
+                with ranges.open_file(archive) as file, zipfile.ZipFile(file) as z:
                     named = [member] if member else [n for n in z.namelist() if n.lower().endswith(".tif.vat.dbf")]
                     _, rows = parse_dbf(z.read(named[0])) if len(named) == 1 else ([], [])
                 rows = [(i, r["Value"], *(None if r.get(f) is None else str(r[f]) for f in names)) for i, r in enumerate(rows) if isinstance(r.get("Value"), int)]

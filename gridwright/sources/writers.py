@@ -6,6 +6,7 @@ Tables go through Spark's committer; documents of the driver are written beside
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ def _store(spark: SparkSession, path: str):
 
 
 def write_document(spark: SparkSession, record: dict, path: str) -> None:
-    """One JSON document, indented, replaced in one step."""
+    """One JSON document, indented. It is written beside its place and renamed over the old one, so a reader finds the one or the other."""
     store, at = _store(spark, path)
     beside = at.suffix(".tmp")
     out = store.create(beside, True)
@@ -32,10 +33,12 @@ def write_document(spark: SparkSession, record: dict, path: str) -> None:
         out.write(bytearray((json.dumps(record, indent=2, default=str) + "\n").encode()))
     finally:
         out.close()
-    if store.exists(at):
-        store.delete(at, False)
-    if not store.rename(beside, at):
-        raise OSError(f"cannot write {path}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    whole = store.makeQualified(at)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(store.makeQualified(beside), whole, options)
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
@@ -92,9 +95,26 @@ def read_layer(spark: SparkSession, path: str, schema: str) -> tuple[dict, DataF
     return read_document(spark, path + "/layer.json"), spark.read.schema(schema).json(path + "/features")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Cached pages, a folder for each tile and page; pages written again replace only themselves."""
-    pages.repartition("tile", "page").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile", "page").parquet(path)
+def write_pages(pages: DataFrame, path: str, tiles_a_folder: int = 64) -> None:
+    """Cached pages(tile, page, ...), a folder for so many tiles; pages written again replace the folders of their tiles,
+    with what these held of other tiles and pages."""
+    spark = pages.sparkSession
+    new = pages.withColumn("bucket", F.expr(f"cast(tile div {tiles_a_folder} as long)"))
+    store, at = _store(spark, path)
+    beside = None
+    if store.exists(at):
+        kept = spark.read.schema(new.schema).parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("tile", "page"), ["tile", "page"], "left_anti")
+        # Spark does not overwrite what it reads: the new state goes to a folder beside, and from there
+        beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        new.unionByName(kept.select(new.columns)).write.parquet(beside)
+        new = spark.read.schema(new.schema).parquet(beside)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if beside:
+        store.delete(_store(spark, beside)[1], True)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
 
 
 def write_grid(layers: DataFrame, path: str) -> None:
@@ -102,9 +122,16 @@ def write_grid(layers: DataFrame, path: str) -> None:
     layers.repartition("component").write.mode("errorifexists").partitionBy("component").parquet(path)
 
 
-def write_report(selected: DataFrame, path: str) -> dict:
-    """What was selected, and how many candidates were tried, as one document: a row for each group."""
-    report = {"format": "terrain-selection", "selected": [r.asDict() for r in selected.orderBy(selected.columns[0]).collect()]}  # a row a tile
+def read_grid(spark: SparkSession, path: str, components: list[str] | None = None) -> DataFrame:
+    """component, row, col, value of a bundle; only the folders of the named components are read."""
+    cells = spark.read.parquet(path)
+    return cells.filter(F.col("component").isin(components)) if components else cells
+
+
+def write_report(selected: DataFrame, path: str, attempts: DataFrame | None = None) -> dict:
+    """What was selected, and how many candidates were tried, as one document: a row for each group; attempts(source, status, ...)
+    are listed in their order."""
+    report = {"format": "terrain-selection", "attempts": [r.asDict() for r in attempts.collect()] if attempts is not None else [], "selected": [r.asDict() for r in selected.orderBy(selected.columns[0]).collect()]}  # a row a tile
     write_document(selected.sparkSession, report, path)
     return report
 
