@@ -68,9 +68,6 @@ def edges_8n(spark, sf_dir):
 
 @R.query(f"{b.DISTANCES} SELECT row, col, round(distance, 6) AS distance FROM dist")
 def least_cost_distance(spark, sf_dir):
-    from ..sources.workspace import use_checkpoints
-
-    use_checkpoints(spark)
     return routing.tile_distances(b.surface(spark, sf_dir, ["balanced"]), b.START).withColumn("distance", F.round("distance", 6))
 
 
@@ -89,6 +86,15 @@ def preset_route_costs(spark, sf_dir):
     return costs.join(routing.illegal_steps(found, surface), "preset")
 
 
+@R.query(f"{b.ALL_DISTANCES} SELECT preset, round(distance, 6) AS route_cost, 0 AS illegal_steps FROM dist WHERE row = {b.N - 1} AND col = {b.N - 1}")
+def tiled_route_costs(spark, sf_dir):
+    """The routes of all presets found over tiles of eight cells: their costs, and steps that the grid does not allow."""
+    surface = b.surface(spark, sf_dir)
+    found = routing.tile_routes(surface, b.START, b.GOAL, 8)
+    costs = found.groupBy("preset").agg(F.round(F.max("route_cost"), 6).alias("route_cost"))
+    return costs.join(routing.illegal_steps(found, surface), "preset")
+
+
 @R.query()
 def preset_routes(spark, sf_dir):
     """Paths of all presets at once; ties are settled by search order, so there is no SQL for the cells."""

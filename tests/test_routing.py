@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridwright.operators import cost, grid, routing
@@ -66,6 +67,35 @@ def test_tiles_give_the_same_distances(spark, tile):
                 assert abs(got[i, j] - want) < 1e-9
 
 
+def test_routes_over_tiles(spark):
+    """The published landscape twice over, once with a gap in it, in tiles of 64: costs of the search, and legal steps."""
+    size = 256
+    g = grid.benchmark_costs(size)
+    blocked = g.copy()
+    blocked[100, 3:250] = INF
+    rows = [(name, i, j, float(x[i, j])) for name, x in (("open", g), ("blocked", blocked)) for i in range(size) for j in range(size)]
+    cells = spark.createDataFrame(pd.DataFrame(rows, columns=["preset", "row", "col", "cost"])).selectExpr("preset", "cast(row as int) row", "cast(col as int) col", "cost").cache()
+    got = routing.tile_routes(cells, (1, 1), (size - 2, size - 2), 64).cache()
+    for name, x in (("open", g), ("blocked", blocked)):
+        steps = sorted((r.step, r.row, r.col, r.route_cost) for r in got.filter(got.preset == name).collect())
+        path = [s[1:3] for s in steps]
+        assert path[0] == (1, 1) and path[-1] == (size - 2, size - 2) and [s[0] for s in steps] == list(range(len(steps)))
+        total = sum((x[a] + x[b]) / 2 * math.dist(a, b) for a, b in zip(path, path[1:], strict=False))
+        want = routing.search(x, (1, 1), (size - 2, size - 2))[1]
+        assert abs(total - want) < 1e-6 and abs(steps[0][3] - want) < 1e-6
+    assert {(r.preset, r.illegal_steps) for r in routing.illegal_steps(got, cells).collect()} == {("open", 0), ("blocked", 0)}
+    wall = spark.createDataFrame([("p", 0, 0, 1.0), ("p", 0, 1, INF), ("p", 0, 2, 1.0)], cells.schema)
+    with pytest.raises(routing.NoRoute):
+        routing.tile_routes(wall, (0, 0), (0, 2), 2)
+
+
+def test_illegal_steps_are_counted(spark):
+    cells = spark.createDataFrame([("p", i, j, INF if (i, j) == (0, 1) else 1.0) for i in range(4) for j in range(4)], "preset string, row int, col int, cost double")
+    routes = spark.createDataFrame([("p", k, *c) for k, c in enumerate([(0, 0), (1, 1), (1, 2), (3, 2), (3, 3), (3, 3), (4, 3)])], "preset string, step int, row int, col int")
+    # past a blocked corner, a jump, on the spot, and off the grid
+    assert [r.illegal_steps for r in routing.illegal_steps(routes, cells).collect()] == [4]
+
+
 def test_no_start(spark):
     use_checkpoints(spark)
     cells = spark.createDataFrame([(0, 0, INF), (0, 1, 1.0)], "row int, col int, cost double")
