@@ -59,6 +59,12 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark drops broadcasts, shuffle files and generated classes of jobs that are over
+    only then, and by itself asks for it every half hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Tables of ids are broadcast up to so many rows (some 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 
