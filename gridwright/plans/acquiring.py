@@ -48,7 +48,9 @@ def acquire_layer(spark, sf_dir):
     """A layer from end to end: pages of its inventory, stale ones fetched, first captures kept, conflicts found."""
     ids = _ids(spark, sf_dir).select("tile", "id")
     wanted = la.wanted_pages(ids, PAGE, **_request())
-    held = _features(wanted.select("tile", "page", F.explode("ids").alias("id")))
+    # what a stale page holds is wrong: reusing one would show in the sums
+    stale = la.page_states(wanted, _cached(wanted)).select("tile", "page", F.when(F.col("state") == "reuse", 0.0).otherwise(1000.0).alias("wrong"))
+    held = _features(wanted.select("tile", "page", F.explode("ids").alias("id"))).join(stale, ["tile", "page"]).withColumn("numbers", F.transform("numbers", lambda x: x + F.col("wrong"))).drop("wrong")
     fetch = lambda pages: _features(pages.select("tile", "page", F.explode("ids").alias("id")))
     states, features, violations = la.acquire(ids, _cached(wanted), held, fetch, PAGE, **_request())
     pages = states.agg(F.count_if(F.col("state") == "reuse").alias("reused"), F.count_if(F.col("state") != "reuse").alias("fetched"))

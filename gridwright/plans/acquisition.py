@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import arrays_near
-from ..operators import checks, vector
+from ..operators import checks, nested, vector
 from . import bindings as b
 from .registry import Registry
 
@@ -114,10 +114,11 @@ def src_null_list_empty(spark, sf_dir):
     return o.select("layer", ids.alias("ids"), F.size(ids).cast("long").alias("n"))
 
 
-@R.query("SELECT DISTINCT (o_orderkey // 100)::BIGINT AS page FROM orders WHERE (o_orderkey // 100) NOT IN (SELECT l_orderkey // 100 FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R')")
+@R.query("SELECT DISTINCT (o_orderkey // 100)::BIGINT AS page FROM orders WHERE o_orderkey // 100 NOT IN (SELECT l_orderkey // 100 FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R' AND l_partkey % 16 = 0)")
 def cache_reuse_antijoin(spark, sf_dir):
+    """Pages of orders that are not cached."""
     wanted = b.table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("page")).distinct()
-    cached = b.table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 and l_returnflag = 'R'").select(F.floor(F.col("l_orderkey") / 100).alias("page"))
+    cached = b.table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 and l_returnflag = 'R' and l_partkey % 16 = 0").select(F.floor(F.col("l_orderkey") / 100).alias("page"))
     return wanted.join(cached, "page", "left_anti")
 
 
@@ -133,11 +134,11 @@ def zip_member_classify(spark, sf_dir):
 
 @R.query("WITH m AS (SELECT o_orderpriority AS component, min(o_orderkey) AS at FROM orders GROUP BY ALL) SELECT component, o.o_custkey AS artifact FROM m JOIN orders o ON o.o_orderkey = m.at")
 def manifest_layer_lookup(spark, sf_dir):
-    """The first layer of each component in a manifest of sources and layers."""
-    layer = F.struct(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("component"), F.col("o_custkey").alias("artifact"))
-    manifest = b.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 64).alias("source")).agg(F.collect_list(layer).alias("layers"))
-    x = manifest.select(F.explode("layers").alias("l")).select("l.*")
-    return x.groupBy("component").agg(F.min_by("artifact", "seq").alias("artifact"))
+    """The first layer of each component in the order of the manifest."""
+    from ..sources.manifest import first_layers
+
+    entries = b.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("component"), F.col("o_custkey").alias("artifact"), F.col("o_orderkey").alias("seq"))
+    return first_layers(entries)
 
 
 @R.query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, md5(coalesce(text, '')) AS md5 FROM documents")
@@ -151,3 +152,20 @@ count(*) FILTER (o_orderkey <= coalesce(m, 9223372036854775807)) AS attempts FRO
 def terrain_select(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("priority"), F.col("o_orderstatus").alias("source"), (F.col("o_orderkey") % 3 == 0).alias("valid"))
     return checks.choose_first_valid(o, "grp")
+
+
+# what the eight kinds of changes of the documents come to: the number of values that differ
+@R.query("""SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 4 THEN 4 WHEN 5 THEN 2 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS differences FROM orders""")
+def nested_equality(spark, sf_dir):
+    """Features as nested documents against copies of which some are changed, numbers within the tolerance aside."""
+    k = F.col("o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("status"), (k % 1000 / 8.0).alias("y"), (k % 8).alias("kind"))
+    left = o.select("id", F.format_string('{"id": %d, "geometry": {"paths": [[[1.5, %s], [2.5, 3]]]}, "attributes": {"name": "%s", "n": null}}', "id", F.col("y").cast("string"), "status").alias("document"))
+    moved = F.when(F.col("kind") == 1, 5e-7).when(F.col("kind") == 2, 2e-6).otherwise(0.0)
+    number = F.when(F.col("kind") == 7, F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"'))).otherwise(F.col("id").cast("string"))
+    more = F.when(F.col("kind") == 4, ", [7, 8]").otherwise("")
+    name = F.when(F.col("kind") == 3, F.concat("status", F.lit("!"))).otherwise(F.col("status"))
+    n = F.when(F.col("kind") == 5, "").when(F.col("kind") == 6, ', "n": 0').otherwise(', "n": null')
+    right = o.select("id", F.format_string('{"attributes": {"name": "%s"%s}, "id": %s, "geometry": {"paths": [[[1.5, %s], [2.5, 3.0]%s]]}}', name, n, number, (F.col("y") + moved).cast("string"), more).alias("document"))
+    bad = nested.differences(left, right, ["id"]).groupBy("id").agg(F.count("*").alias("differences"))
+    return o.select("id").join(bad, "id", "left").na.fill(0, ["differences"])
