@@ -3,11 +3,12 @@
 ``encode_media`` stores payloads as 8-bit PCM access units of 64 bytes; ``probe_media`` walks the
 nested boxes of a container and decodes its first track's sample tables into codec, duration and keyframe
 byte ranges without touching ``mdat``; ``read_payload`` follows the tables to the stored bytes. Sizes come
-from ``stsz`` or ``stz2``; samples of fragments (``moof``) and edit lists are not read.
+from ``stsz`` or ``stz2``; runs of fragments (``moof``) follow the samples of the tables, and with them the duration
+is the sum of the samples' own. Edit lists are not read.
 
 Defined results: a null text is an empty one; an empty payload is one unit of zeros; bytes that are
 no container, and tables that contradict one another or claim more than the file holds, give nulls and
-``error``; long texts get 64-bit chunk offsets only past 4 GiB; repeated rows are encoded each; other
+``error``, if they are the first track's (other tracks do not void it); long texts get 64-bit chunk offsets only past 4 GiB; repeated rows are encoded each; other
 columns, also of PROBE_SCHEMA's names, are passed by or replaced; empty tables give no rows.
 """
 
@@ -90,7 +91,7 @@ def build_container(payload: bytes) -> bytes:
 
 
 def walk_boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """Yield (path, body start, body end) of every box, outer ones first."""
+    """Yield (path, start, body start, end) of every box, outer ones first."""
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -105,7 +106,7 @@ def walk_boxes(data: memoryview, start: int = 0, end: int | None = None, path: t
             raise ValueError(f"box {kind!r} does not fit")
         if len(path) >= DEPTH:
             raise ValueError("boxes are nested too deeply")
-        yield (*path, kind), start + head, start + size
+        yield (*path, kind), start, start + head, start + size
         if kind in CONTAINERS:
             yield from walk_boxes(data, start + head, start + size, (*path, kind))
         start += size
@@ -117,69 +118,182 @@ def _table(data: memoryview, at: int, kind: str, columns: int = 1) -> np.ndarray
     return out.reshape(n, columns) if columns > 1 else out
 
 
+def _read_box(t: dict, kind: bytes, data: memoryview, at: int, whole: int) -> None:
+    """What one box says of its track; data ends with the box, so no table reaches past it."""
+    if kind == b"tkhd":
+        (t["id"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+    elif kind == b"mdhd":
+        wide = data[at] == 1
+        t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+    elif kind == b"hdlr":
+        t["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
+    elif kind == b"stsd":
+        t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
+    elif kind == b"stts":
+        t["stts"] = _table(data, at, ">u4", 2)
+    elif kind == b"stss":
+        t["sync"] = _table(data, at, ">u4") - 1
+    elif kind == b"stsc":
+        t["stsc"] = _table(data, at, ">u4", 3)
+    elif kind == b"stco":
+        t["chunks"] = _table(data, at, ">u4")
+    elif kind == b"co64":
+        t["chunks"] = _table(data, at, ">u8")
+    elif kind == b"stsz":
+        size, n = struct.unpack_from(">II", data, at + 4)
+        if size * n > whole:
+            raise ValueError("more samples than bytes")
+        t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+    elif kind == b"stz2":
+        width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if width == 4:
+            pairs = np.frombuffer(data, np.uint8, -(-n // 2), at + 12).astype(np.int64)
+            t["sizes"] = np.column_stack((pairs >> 4, pairs & 15)).ravel()[:n]
+        elif width in (8, 16):
+            t["sizes"] = np.frombuffer(data, f">u{width // 8}", n, at + 12).astype(np.int64)
+        else:
+            raise ValueError("unknown field size")
+
+
+def _place_samples(t: dict) -> None:
+    """Offsets of the samples of a track's tables."""
+    sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
+    firsts = np.append(runs[:, 0] - 1, len(chunks))
+    if len(chunks) and (not len(runs) or firsts[0] or (np.diff(firsts) < 0).any()):
+        raise ValueError("chunk runs are out of order")
+    of_chunk = np.repeat(runs[:, 1], np.diff(firsts)) if len(chunks) else np.zeros(0, np.int64)
+    if sum(of_chunk.tolist()) != len(sizes):
+        raise ValueError("chunk and size tables disagree")
+    if len(sizes) and (chunks.min() < 0 or ("sync" in t and len(t["sync"]) and (t["sync"].min() < 0 or t["sync"].max() >= len(sizes)))):
+        raise ValueError("an entry is out of range")
+    chunk = np.repeat(np.arange(len(chunks)), of_chunk)
+    before = np.cumsum(sizes) - sizes
+    first_sample = np.cumsum(of_chunk) - of_chunk
+    t["offsets"] = chunks[chunk] + before - before[first_sample[chunk]] if len(sizes) else sizes
+    t.setdefault("sync", np.arange(len(sizes)))
+
+
+#: Fields that the flags of a fragment's header and of its runs announce, in their order (fixed values of ISO/IEC 14496-12).
+HEADER_FIELDS = {0x1: "base", 0x2: "description", 0x8: "duration", 0x10: "size", 0x20: "flags"}
+SAMPLE_FIELDS = {0x100: "duration", 0x200: "size", 0x400: "flags", 0x800: "composition"}
+BASE_IS_MOOF, RUN_OFFSET, FIRST_FLAGS, NOT_SYNC = 0x20000, 0x1, 0x4, 0x10000
+
+
+def _fragment(data: memoryview, at: int) -> tuple[int, dict]:
+    """Track and given fields of a fragment's header."""
+    flags, track = struct.unpack_from(">II", data, at)
+    given, at = {"at moof": bool(flags & BASE_IS_MOOF)}, at + 8
+    for bit, name in HEADER_FIELDS.items():
+        if flags & bit:
+            (given[name],) = struct.unpack_from(">Q" if name == "base" else ">I", data, at)
+            at += 8 if name == "base" else 4
+    if given.get("base", 0) > len(data.obj):
+        raise ValueError("a fragment starts beyond the file")
+    return track, given
+
+
+def _run(data: memoryview, at: int, known: dict, place: int, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Offsets, sizes and sync marks of a run's samples, their duration, and the place behind them."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at += 8
+    if flags & RUN_OFFSET:
+        place, at = known["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+    first = None
+    if flags & FIRST_FLAGS:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    names = [name for bit, name in SAMPLE_FIELDS.items() if flags & bit]
+    if not names and n > whole:
+        raise ValueError("more samples than bytes")
+    each = dict(zip(names, np.frombuffer(data, ">u4", n * len(names), at).reshape(n, len(names)).T.astype(np.int64), strict=True)) if names else {}
+    sizes, durations, marks = (each[f] if f in each else np.full(n, known.get(f, 0), np.int64) for f in ("size", "duration", "flags"))
+    if n and first is not None and "flags" not in each:
+        marks[0] = first
+    offsets = place + np.cumsum(sizes) - sizes
+    return offsets, sizes, marks & NOT_SYNC == 0, int(durations.sum()), place + int(sizes.sum())
+
+
 def sample_tables(container: bytes) -> list[dict]:
-    """One dict for each track: codec, handler, timescale, duration, sample offsets and sizes, sync samples."""
+    """One dict for each track: codec, handler, timescale, duration, sample offsets and sizes, sync samples; a track whose
+    tables are wrong has an ``error`` instead of them."""
     whole = memoryview(container)
     tracks: list[dict] = []
-    for path, at, end in walk_boxes(whole):
-        kind, data = path[-1], whole[:end]  # no table reaches past its box
+    usual: dict[int, dict] = {}
+    runs: list[tuple[int, dict, memoryview, int]] = []
+    moof = known = None
+    for path, start, at, end in walk_boxes(whole):
+        kind, data = path[-1], whole[:end]
         if kind == b"trak":
             tracks.append({})
-        if len(path) < 3 or path[1] != b"trak":
-            continue
-        t = tracks[-1]
-        if kind == b"mdhd":
-            wide = data[at] == 1
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-        elif kind == b"hdlr":
-            t["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
-        elif kind == b"stsd":
-            t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
-        elif kind == b"stts":
-            t["stts"] = _table(data, at, ">u4", 2)
-        elif kind == b"stss":
-            t["sync"] = _table(data, at, ">u4") - 1
-        elif kind == b"stsc":
-            t["stsc"] = _table(data, at, ">u4", 3)
-        elif kind == b"stco":
-            t["chunks"] = _table(data, at, ">u4")
-        elif kind == b"co64":
-            t["chunks"] = _table(data, at, ">u8")
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, at + 4)
-            if size * n > len(whole):
-                raise ValueError("more samples than bytes")
-            t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
-        elif kind == b"stz2":
-            width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-            if width == 4:
-                pairs = np.frombuffer(data, np.uint8, -(-n // 2), at + 12).astype(np.int64)
-                t["sizes"] = np.column_stack((pairs >> 4, pairs & 15)).ravel()[:n]
-            elif width in (8, 16):
-                t["sizes"] = np.frombuffer(data, f">u{width // 8}", n, at + 12).astype(np.int64)
-            else:
-                raise ValueError("unknown field size")
+        elif kind == b"moof":
+            moof, known = start, None
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+            usual[track] = {"duration": duration, "size": size, "flags": flags}
+        elif path == (b"moof", b"traf", b"tfhd"):
+            track, given = _fragment(data, at)
+            # without a base, a fragment starts at its moof, and a later one of the same moof behind the one before
+            known = {"base": moof if given["at moof"] or known is None else None, **usual.get(track, {}), **given}
+            runs.append((track, known, None, 0))
+        elif path == (b"moof", b"traf", b"trun"):
+            if known is None:
+                raise ValueError("a run stands before its fragment's header")
+            runs.append((track, known, data, at))
+        elif len(path) >= 3 and path[1] == b"trak":
+            try:
+                _read_box(tracks[-1], kind, data, at, len(whole))
+            except (ValueError, IndexError, struct.error) as e:
+                tracks[-1].setdefault("error", e)
+    for t in tracks:
+        try:
+            if "error" not in t:
+                _place_samples(t)
+        except (ValueError, KeyError) as e:
+            t["error"] = e
+    _add_runs(tracks, runs, len(whole))
     for t in tracks:
-        sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
-        firsts = np.append(runs[:, 0] - 1, len(chunks))
-        if len(chunks) and (not len(runs) or firsts[0] or (np.diff(firsts) < 0).any()):
-            raise ValueError("chunk runs are out of order")
-        of_chunk = np.repeat(runs[:, 1], np.diff(firsts)) if len(chunks) else np.zeros(0, np.int64)
-        if sum(of_chunk.tolist()) != len(sizes):
-            raise ValueError("chunk and size tables disagree")
-        if len(sizes) and (chunks.min() < 0 or ("sync" in t and len(t["sync"]) and (t["sync"].min() < 0 or t["sync"].max() >= len(sizes)))):
-            raise ValueError("an entry is out of range")
-        chunk = np.repeat(np.arange(len(chunks)), of_chunk)
-        before = np.cumsum(sizes) - sizes
-        first_sample = np.cumsum(of_chunk) - of_chunk
-        t["offsets"] = chunks[chunk] + before - before[first_sample[chunk]] if len(sizes) else sizes
-        t.setdefault("sync", np.arange(len(sizes)))
+        if "error" not in t and len(t["sizes"]) and (t["offsets"].min() < 0 or (t["offsets"] + t["sizes"]).max() > len(whole)):
+            t["error"] = ValueError("a sample lies beyond the file")
     return tracks
 
 
+def _add_runs(tracks: list[dict], runs: list[tuple[int, dict, memoryview | None, int]], whole: int) -> None:
+    """Append the samples of fragments to those of their tracks' tables; runs are in the order of the file."""
+    found: dict[int, list] = {}
+    place, n, taken = 0, 0, 0
+    for track, known, data, at in runs:
+        if data is None:  # a header
+            if known["base"] is None:
+                known["base"] = place
+            place = known["base"]
+            found.setdefault(track, [])
+            continue
+        made = _run(data, at, known, place, whole)
+        place = made[-1]
+        n, taken = n + len(made[0]), taken + int(made[1].sum())
+        if n > whole or taken > whole:
+            raise ValueError("more samples than bytes")
+        found[track].append(made)
+    for t in tracks:
+        mine = found.get(t.get("id"))
+        if "error" in t or mine is None:
+            continue
+        tables = len(t["sizes"])
+        offsets, sizes, sync, durations, _ = zip(*mine, strict=True) if mine else ((), (), (), (), ())
+        t["duration"] = int((t["stts"][:, 0] * t["stts"][:, 1]).sum() if "stts" in t else 0) + sum(durations)
+        t["sync"] = np.concatenate([t["sync"], tables + np.flatnonzero(np.concatenate([np.zeros(0, bool), *sync]))])
+        t["offsets"], t["sizes"] = np.concatenate([t["offsets"], *offsets]), np.concatenate([t["sizes"], *sizes])
+
+
+def _first(container: bytes) -> dict:
+    t = sample_tables(container)[0]
+    if "error" in t:
+        raise t["error"]
+    return t
+
+
 def read_payload(container: bytes) -> bytes:
     """The samples of the first track, joined in order."""
-    t = sample_tables(container)[0]
+    t = _first(container)
     starts, ends = t["offsets"], t["offsets"] + t["sizes"]
     if not len(starts):
         return b""
@@ -189,7 +303,7 @@ def read_payload(container: bytes) -> bytes:
 
 def _probe(container: bytes | None) -> dict:
     try:
-        t = sample_tables(container or b"")[0]
+        t = _first(container or b"")
         ranges = [{"offset": int(a), "size": int(n)} for a, n in zip(t["offsets"][t["sync"]], t["sizes"][t["sync"]], strict=True)]
         return {"codec": t["codec"], "handler": t.get("handler"), "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "payload_bytes": int(t["sizes"].sum()), "n_keyframes": len(ranges), "keyframes": ranges, "error": None}
     except (ValueError, IndexError, KeyError, struct.error) as e:

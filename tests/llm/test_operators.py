@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -185,6 +186,75 @@ def test_media_probe_reads_no_payload(spark):
     assert all(r.error and r.codec is None for r in media.probe_media(bad).collect())
 
 
+def fragmented(rows, style, defaults=(10, 7, 0x10000)):
+    """A container of two tracks whose samples (track, bytes, duration, key) stand in fragments, a fragment for each row."""
+    word = lambda *x: struct.pack(f">{len(x)}I", *x)
+    tables = b"".join(media.full_box(k, word(0, 0) if k == b"stsz" else word(0)) for k in (b"stts", b"stsc", b"stsz", b"stco"))
+
+    def track(i):
+        entry = media.full_box(b"stsd", word(1), media.box(b"raw ", bytes(28)))
+        mdia = media.box(b"mdia", media.full_box(b"mdhd", word(0, 0, 100, 0, 0)), media.full_box(b"hdlr", bytes(4), b"vide", bytes(12)), media.box(b"minf", media.box(b"stbl", entry, tables)))
+        return media.box(b"trak", media.full_box(b"tkhd", word(0, 0, i, 0, 0)), mdia)
+
+    usual = [media.full_box(b"trex", word(i, 1, *defaults)) for i in (1, 2)]
+    out = media.box(b"moov", track(1), track(2), media.box(b"mvex", *usual))
+    for number, samples in enumerate(rows):
+        def moof(start, ends, at=len(out), samples=samples, number=number):
+            trafs = []
+            for i in (1, 2):
+                mine = [s for s in samples if s[0] == i]
+                if not mine:
+                    continue
+                plain = all((d, len(x), key) == (defaults[0], defaults[1], False) for _, x, d, key in mine)
+                fields = [] if plain else [word(d, len(x), 0 if key else 0x10000) for _, x, d, key in mine]
+                head = {"base": media.full_box(b"tfhd", word(i), struct.pack(">Q", start), flags=1), "moof": media.full_box(b"tfhd", word(i), flags=0x20000), "chain": media.full_box(b"tfhd", word(i))}[style]
+                place = {"base": 0, "moof": start - at, "chain": start - at if not trafs else None}[style]
+                offset = b"" if place is None else struct.pack(">i", place)
+                trafs.append(media.box(b"traf", head, media.full_box(b"trun", word(len(mine)), offset, *fields, flags=(0 if place is None else 1) | (0 if plain else 0x700))))
+                start += sum(len(x) for _, x, _, _ in mine)
+            return media.box(b"moof", media.full_box(b"mfhd", word(number)), *trafs)
+
+        head = moof(len(out), 0)
+        data = b"".join(x for i in (1, 2) for t, x, _, _ in samples if t == i)
+        out += moof(len(out) + len(head) + 8, 0) + media.box(b"mdat", data)
+    return out
+
+
+@pytest.mark.parametrize("style", ["base", "moof", "chain"])
+def test_media_fragments(spark, style):
+    r = random.Random(5)
+    rows = [[(r.choice((1, 2)), r.randbytes(r.randrange(0, 50)), r.randrange(30), r.random() < 0.3) for _ in range(r.randrange(1, 20))] for _ in range(30)]
+    rows += [[(1, b"sevenby", 10, False)] * 5, []]
+    stored = fragmented(rows, style)
+    for i, t in enumerate(media.sample_tables(stored), 1):
+        mine = [s for row in rows for s in row if s[0] == i]
+        assert [stored[a : a + n] for a, n in zip(t["offsets"], t["sizes"], strict=True)] == [x for _, x, _, _ in mine]
+        assert t["duration"] == sum(d for _, _, d, _ in mine) and t["sync"].tolist() == [k for k, s in enumerate(mine) if s[3]]
+    assert media.read_payload(stored) == b"".join(x for row in rows for t, x, _, _ in row if t == 1)
+    many = media.full_box(b"trun", struct.pack(">I", 2**32 - 1))
+    lost = [stored[:-40], stored + media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", b"\0\0\0\1"), many)), stored + media.box(b"moof", media.box(b"traf", many)),
+        stored + media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", b"\0\0\0\1", b"\xff" * 8, flags=1)))]
+    found = media.probe_media(spark.createDataFrame(list(enumerate([stored, *lost])), "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert found[0].error is None and found[0].n_samples == sum(s[0] == 1 for row in rows for s in row) and len(found[0].keyframes) == found[0].n_keyframes > 0
+    assert all(x.error and x.n_samples is None for x in found[1:])
+
+
+def test_media_of_a_broken_second_track():
+    good = media.build_container(media.pad_payload(bytes(range(256)) * 9))
+    moov = good.index(b"moov") - 4
+    size = int.from_bytes(good[moov : moov + 4], "big")
+    bad = media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.full_box(b"stsz", b"\xff" * 8)))))
+    # the second track stands before the samples, whose places it moves
+    stored = good[:moov] + (size + len(bad)).to_bytes(4, "big") + good[moov + 4 : moov + size] + bad + good[moov + size :]
+    chunks = stored.index(b"stco") + 8
+    n = int.from_bytes(stored[chunks : chunks + 4], "big")
+    places = np.frombuffer(stored, ">u4", n, chunks + 4) + len(bad)
+    stored = stored[: chunks + 4] + places.astype(">u4").tobytes() + stored[chunks + 4 + 4 * n :]
+    assert "error" in media.sample_tables(stored)[1] and media.read_payload(stored) == bytes(range(256)) * 9
+    beyond = stored[: chunks + 4] + (places + 1).astype(">u4").tobytes() + stored[chunks + 4 + 4 * n :]
+    assert media._probe(beyond)["error"] == "ValueError: a sample lies beyond the file"
+
+
 def test_languages(spark, empty):
     german, french = "der und die nicht schule werden durch über", "le une est dans pour avec être leçon"
     make = lambda lang, i: " ".join(random.Random(f"{lang}{i}").choices((german if lang == "de" else french).split(), k=60))
