@@ -7,8 +7,9 @@ touches to partitions; a task reads only the bytes of its blocks. Read with
     spark.read.format("tiff_pixels").option("window", "row,col,rows,cols").load(path)
 
 With the option ``pushed``, comparisons of row and col with constants narrow the window further; Spark wants
-``spark.sql.python.filterPushdown.enabled`` for that (`read_pixels` looks it up). Classic and big TIFF, one plane of integers or floats,
-Deflate, LZW, PackBits or none, with or without predictor. A block without bytes is all nodata, as are
+``spark.sql.python.filterPushdown.enabled`` for that (`read_pixels` looks it up). Of several planes, the option ``plane`` names one
+(1 if nothing is said): of planes stored apart only its blocks are read, of interleaved ones the blocks of all. Classic and big
+TIFF, integers or floats of one kind, Deflate, LZW, PackBits or none, with or without predictor. A block without bytes is all nodata, as are
 missing values; such pixels give no rows. Broken blocks fail the read.
 """
 
@@ -87,25 +88,31 @@ class Layout:
     predictor: int
     kind: str
     nodata: float | None
+    #: Planes of the raster, the chosen one (from 0), and whether each has its own blocks.
+    planes: int = 1
+    plane: int = 0
+    apart: bool = False
     #: Place of the file's own bytes: 0, or the start of a stored archive member.
     base: int = 0
     across: int = field(init=False)
 
     def __post_init__(self) -> None:
         self.across = -(-self.cols // self.block_cols)
-        expected = self.across * -(-self.rows // self.block_rows)
+        expected = self.across * -(-self.rows // self.block_rows) * (self.planes if self.apart else 1)
         if len(self.offsets) != expected or len(self.sizes) != expected:
             raise ValueError(f"{len(self.offsets)} blocks, expected {expected}")
 
     @classmethod
-    def of(cls, file) -> Layout:
+    def of(cls, file, plane: int = 1) -> Layout:
         order, t = read_tags(file)
         get = lambda tag, default=None: t[tag][0] if tag in t else default
         if missing := [x for x in (WIDTH, HEIGHT) if x not in t]:
             raise ValueError(f"tags are missing: {missing}")
-        samples, bits, kind = get(SAMPLES, 1), get(BITS, 1), get(FORMAT, 1)
-        if samples != 1 or (kind, bits) not in {(k, b) for k in (1, 2) for b in (8, 16, 32, 64)} | {(3, 32), (3, 64)}:
-            raise ValueError(f"{samples} planes of {bits} bits in format {kind} are not read")
+        planes, bits, kind = get(SAMPLES, 1), get(BITS, 1), get(FORMAT, 1)
+        if not 1 <= plane <= planes:
+            raise ValueError(f"no plane {plane} of {planes}")
+        if len({*t.get(BITS, (1,))}) > 1 or len({*t.get(FORMAT, (1,))}) > 1 or (kind, bits) not in {(k, b) for k in (1, 2) for b in (8, 16, 32, 64)} | {(3, 32), (3, 64)}:
+            raise ValueError(f"planes of {t.get(BITS)} bits in format {t.get(FORMAT)} are not read")
         tiled = TILE_OFFSETS in t
         shape = (get(TILE_HEIGHT), get(TILE_WIDTH)) if tiled else (min(get(ROWS_PER_STRIP, get(HEIGHT)), get(HEIGHT)), get(WIDTH))
         if not all(shape) or not get(WIDTH) or not get(HEIGHT):
@@ -115,7 +122,7 @@ class Layout:
             nodata = float(text) if text else None
         except ValueError:
             nodata = None
-        return cls(get(HEIGHT), get(WIDTH), *shape, t.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), t.get(TILE_SIZES if tiled else STRIP_SIZES, ()), get(COMPRESSION, 1), get(PREDICTOR, 1), order + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8), nodata)
+        return cls(get(HEIGHT), get(WIDTH), *shape, t.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), t.get(TILE_SIZES if tiled else STRIP_SIZES, ()), get(COMPRESSION, 1), get(PREDICTOR, 1), order + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8), nodata, planes, plane - 1, get(PLANES, 1) == 2 and planes > 1)
 
     def blocks_in(self, row: int, col: int, rows: int, cols: int) -> list[int]:
         """Numbers of the blocks that a window touches."""
@@ -127,15 +134,18 @@ class Layout:
     def block(self, number: int, file) -> tuple[int, int, np.ndarray | None]:
         """First row and column of a block and its pixels; None for a block without bytes."""
         row, col = number // self.across * self.block_rows, number % self.across * self.block_cols
+        if self.apart:  # the blocks of a plane follow those of the plane before
+            number += self.plane * (len(self.sizes) // self.planes)
         if not self.sizes[number]:
             return row, col, None
         data = decompress(ranges.read_range(file, self.base + self.offsets[number], self.sizes[number]), self.compression)
         # the last strip may be shorter than the others, tiles are all whole
         rows = self.block_rows if self.block_cols != self.cols else min(self.block_rows, self.rows - row)
-        width = np.dtype(self.kind).itemsize
-        if len(data) < rows * self.block_cols * width:
-            raise ValueError(f"block {number} has {len(data)} bytes, expected {rows * self.block_cols * width}")
-        return row, col, unpredict(data[: rows * self.block_cols * width], rows, self.block_cols, self.kind, self.predictor)
+        mixed = 1 if self.apart else self.planes
+        expected = rows * self.block_cols * mixed * np.dtype(self.kind).itemsize
+        if len(data) < expected:
+            raise ValueError(f"block {number} has {len(data)} bytes, expected {expected}")
+        return row, col, unpredict(data[:expected], rows, self.block_cols, self.kind, self.predictor, mixed)[..., 0 if self.apart else self.plane]
 
 
 def decompress(data: bytes, compression: int) -> bytes:
@@ -201,25 +211,26 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpredict(data: bytes, rows: int, cols: int, kind: str, predictor: int) -> np.ndarray:
+def unpredict(data: bytes, rows: int, cols: int, kind: str, predictor: int, planes: int = 1) -> np.ndarray:
+    """Values by row, column and plane; differences are taken within a plane."""
     if predictor == 2:
-        plain = np.frombuffer(data, kind).reshape(rows, cols)
+        plain = np.frombuffer(data, kind).reshape(rows, cols, planes)
         native = plain.astype(plain.dtype.newbyteorder("="))
         return np.cumsum(native.view(f"u{native.itemsize}"), axis=1, dtype=f"u{native.itemsize}").view(native.dtype)
-    if predictor == 3:  # bytes of the floats by place, highest first, each the difference from the one before
+    if predictor == 3:  # bytes of the floats by place, highest first, each the difference from the one a pixel's planes before
         width = np.dtype(kind).itemsize
-        by_place = np.cumsum(np.frombuffer(data, np.uint8).reshape(rows, cols * width), axis=1, dtype=np.uint8).reshape(rows, width, cols)
-        return np.ascontiguousarray(by_place.transpose(0, 2, 1)).view(f">f{width}").reshape(rows, cols)
+        by_place = np.cumsum(np.frombuffer(data, np.uint8).reshape(rows, cols * width, planes), axis=1, dtype=np.uint8).reshape(rows, width, cols * planes)
+        return np.ascontiguousarray(by_place.transpose(0, 2, 1)).view(f">f{width}").reshape(rows, cols, planes)
     if predictor != 1:
         raise ValueError(f"predictor {predictor} is not read")
-    return np.frombuffer(data, kind).reshape(rows, cols)
+    return np.frombuffer(data, kind).reshape(rows, cols, planes)
 
 
-def open_raster(path: str, member: str | None = None):
-    """(file, layout, first byte) of a TIFF, or of a member that a ZIP archive stores as it is."""
+def open_raster(path: str, member: str | None = None, plane: int = 1):
+    """(file, layout) of a TIFF, or of a member that a ZIP archive stores as it is."""
     file = ranges.open_file(path)
     if member is None:
-        return file, Layout.of(file)
+        return file, Layout.of(file, plane)
     with zipfile.ZipFile(file) as z:
         info = z.getinfo(member)
         if info.compress_type != zipfile.ZIP_STORED:
@@ -227,7 +238,7 @@ def open_raster(path: str, member: str | None = None):
         head = ranges.read_range(file, info.header_offset, 30)
         start = info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26))
     file = ranges.open_file(path)
-    layout = Layout.of(ranges.Within(file, start, info.file_size))
+    layout = Layout.of(ranges.Within(file, start, info.file_size), plane)
     layout.base = start
     return file, layout
 
@@ -241,7 +252,7 @@ class Blocks(InputPartition):
 
 
 class TiffPixels(DataSource):
-    """row, col, value of a raster's pixels; options: window (row,col,rows,cols), member (of a ZIP archive)."""
+    """row, col, value of a raster's pixels; options: window (row,col,rows,cols), member (of a ZIP archive), plane (from 1)."""
 
     @classmethod
     def name(cls) -> str:
@@ -257,7 +268,7 @@ class TiffPixels(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.member = options["path"], options.get("member")
-        file, self.layout = open_raster(self.path, self.member)
+        file, self.layout = open_raster(self.path, self.member, int(options.get("plane", 1)))
         file.close()
         window = options.get("window")
         row, col, rows, cols = map(int, window.split(",")) if window else (0, 0, self.layout.rows, self.layout.cols)
@@ -302,10 +313,10 @@ class _PushedReader(_Reader):
             yield f
 
 
-def read_pixels(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, member: str | None = None) -> DataFrame:
-    """row, col, value of the pixels in a window (row, col, rows, cols), nodata left out."""
+def read_pixels(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, member: str | None = None, plane: int = 1) -> DataFrame:
+    """row, col, value of a plane's pixels in a window (row, col, rows, cols), nodata left out."""
     spark.dataSource.register(TiffPixels)
-    reader = spark.read.format("tiff_pixels").option("pushed", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    reader = spark.read.format("tiff_pixels").option("pushed", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).option("plane", plane)
     if window:
         reader = reader.option("window", ",".join(map(str, window)))
     if member:
@@ -317,7 +328,7 @@ def describe(path: str, member: str | None = None) -> dict:
     """rows, cols, kind, nodata, block size and, where the file has them, pixel sizes, corner and system code: a few ranges are read."""
     file, layout = open_raster(path, member)
     _, tags = read_tags(file if member is None else ranges.Within(file, layout.base, file.size() - layout.base))
-    out = {"rows": layout.rows, "cols": layout.cols, "kind": layout.kind, "nodata": layout.nodata, "block_rows": layout.block_rows, "block_cols": layout.block_cols, "compression": layout.compression}
+    out = {"rows": layout.rows, "cols": layout.cols, "planes": layout.planes, "kind": layout.kind, "nodata": layout.nodata, "block_rows": layout.block_rows, "block_cols": layout.block_cols, "compression": layout.compression}
     if PIXEL_SCALE in tags and TIE_POINT in tags:
         (sx, sy), tie = tags[PIXEL_SCALE][:2], tags[TIE_POINT]
         out |= {"pixel_x": sx, "pixel_y": sy, "west": tie[3] - tie[0] * sx, "north": tie[4] + tie[1] * sy}

@@ -25,31 +25,34 @@ def got(df):
     return {(r.row, r.col): r.value for r in df.collect()}
 
 
-def plain_tiff(path, pixels, compression=1, predictor=1, tile=None, order="<", big=False, squeeze=lambda b: b, nodata=None):
-    """A TIFF by hand: strips of five rows or square tiles, coded by `squeeze`."""
-    rows, cols = pixels.shape
+def plain_tiff(path, pixels, compression=1, predictor=1, tile=None, order="<", big=False, squeeze=lambda b: b, nodata=None, apart=False):
+    """A TIFF by hand: strips of five rows or square tiles, coded by `squeeze`; a third axis of pixels is planes."""
+    rows, cols = pixels.shape[:2]
+    n_planes = pixels.shape[2] if pixels.ndim == 3 else 1
     blocks = []
-    if tile:
-        padded = np.zeros((-(-rows // tile) * tile, -(-cols // tile) * tile), pixels.dtype)
-        padded[:rows, :cols] = pixels
-        blocks = [padded[r : r + tile, c : c + tile] for r in range(0, rows, tile) for c in range(0, cols, tile)]
-    else:
-        blocks = [pixels[r : r + 5] for r in range(0, rows, 5)]
+    for part in [pixels[..., k] for k in range(n_planes)] if apart else [pixels]:
+        if tile:
+            padded = np.zeros((-(-rows // tile) * tile, -(-cols // tile) * tile, *part.shape[2:]), pixels.dtype)
+            padded[:rows, :cols] = part
+            blocks += [padded[r : r + tile, c : c + tile] for r in range(0, rows, tile) for c in range(0, cols, tile)]
+        else:
+            blocks += [part[r : r + 5] for r in range(0, rows, 5)]
 
     def coded(b):
         b = b.astype(b.dtype.newbyteorder(order))
         if predictor == 2:
             b = np.concatenate([b[:, :1], b[:, 1:] - b[:, :-1]], 1).astype(b.dtype)
         if predictor == 3:
-            by = np.stack([np.frombuffer(np.ascontiguousarray(b).astype(">f4").tobytes(), np.uint8).reshape(*b.shape, 4)[..., k] for k in range(4)], 1).reshape(len(b), -1)
-            return squeeze(np.concatenate([by[:, :1], by[:, 1:] - by[:, :-1]], 1).astype(np.uint8).tobytes())
+            step = b.shape[2] if b.ndim == 3 else 1
+            by = np.stack([np.frombuffer(np.ascontiguousarray(b).astype(">f4").tobytes(), np.uint8).reshape(len(b), -1, 4)[..., k] for k in range(4)], 1).reshape(len(b), -1)
+            return squeeze(np.concatenate([by[:, :step], by[:, step:] - by[:, :-step]], 1).astype(np.uint8).tobytes())
         return squeeze(b.tobytes())
 
     data = [coded(b) for b in blocks]
     start = 16 if big else 8
     offsets = [start + sum(map(len, data[:i])) for i in range(len(data))]
     kind = {"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]
-    tags = [(256, 4, (cols,)), (257, 4, (rows,)), (258, 3, (pixels.dtype.itemsize * 8,)), (259, 3, (compression,)), (277, 3, (1,)), (317, 3, (predictor,)), (339, 3, (kind,))]
+    tags = [(256, 4, (cols,)), (257, 4, (rows,)), (258, 3, (pixels.dtype.itemsize * 8,) * n_planes), (259, 3, (compression,)), (277, 3, (n_planes,)), (284, 3, (2 if apart else 1,)), (317, 3, (predictor,)), (339, 3, (kind,) * n_planes)]
     tags += [(322, 4, (tile,)), (323, 4, (tile,)), (324, 16 if big else 4, offsets), (325, 4, list(map(len, data)))] if tile else [(273, 16 if big else 4, offsets), (278, 4, (5,)), (279, 4, list(map(len, data)))]
     if nodata:
         tags.append((42113, 2, (nodata,)))
@@ -105,6 +108,33 @@ def pack_bits(data):
     return out
 
 
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("tile", [None, 16])
+@pytest.mark.parametrize(("kind", "predictor", "order"), [("u1", 2, "<"), ("i2", 2, ">"), ("u2", 1, ">"), ("f4", 3, "<"), ("f4", 1, "<")])
+def test_planes(spark, tmp_path, apart, tile, kind, predictor, order):
+    r = np.random.default_rng(3)
+    pixels = r.integers(0, 100, (23, 37, 3)).astype(kind)
+    path = tmp_path / "planes.tif"
+    plain_tiff(path, pixels, 8, predictor, tile, order, squeeze=zlib.compress, apart=apart, nodata=b"7\0")
+    assert tiff.describe(str(path))["planes"] == 3
+    for plane in (1, 3):
+        part = got(tiff.read_pixels(spark, str(path), (3, 5, 19, 30), plane=plane))
+        assert part == {(i, j): pixels[i, j, plane - 1] for i in range(3, 22) for j in range(5, 35) if pixels[i, j, plane - 1] != 7}
+    for plane in (0, 4):
+        with pytest.raises(Exception, match=f"no plane {plane} of 3"):
+            tiff.read_pixels(spark, str(path), plane=plane).count()
+
+
+def test_planes_apart_read_their_blocks_only(tmp_path, monkeypatch):
+    path = tmp_path / "planes.tif"
+    plain_tiff(path, np.arange(20 * 20 * 3, dtype="u2").reshape(20, 20, 3), apart=True)
+    file, layout = tiff.open_raster(str(path), plane=2)
+    asked = []
+    monkeypatch.setattr(ranges, "read_range", lambda f, at, n, real=ranges.read_range: asked.append(at) or real(f, at, n))
+    _, _, block = layout.block(layout.blocks_in(7, 0, 1, 1)[0], file)
+    assert asked == [layout.offsets[4 + 1]] and block[2, 0] == (7 * 20 + 0) * 3 + 1
+
+
 def test_written_rasters_read_back(spark, tmp_path):
     values = values_of(100, 70)
     for i, j in list(values):
