@@ -210,6 +210,7 @@ class PieceEncoder:
         self.older: dict[str, bytes] = {}
         self.ends = {c: self._whole([c])[0] for c in ".,\n"}
         self.line_break = int(np.frombuffer(self.ends["\n"], self.dtype)[0])
+        self.opens = self._opens()
         self.cuts = self._cuts()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -223,29 +224,49 @@ class PieceEncoder:
         whole, *rest = self._whole([probe, *fine])
         return whole == b"".join(rest)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, and of pieces that open with a space and hold no other white space: one text, a piece a line."""
+    def _opens(self) -> np.ndarray:
+        """By id: does the token open with a space?"""
+        vocabulary = self.library.get_vocab()
+        space = self.library.id_to_token(int(np.frombuffer(self._whole([" "])[0], self.dtype)[0]))
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        return out
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that open with a space and hold no other white space: one text, in which their first tokens are
+        those that open with a space."""
+        ids = np.frombuffer(self._whole(["".join(words)])[0], self.dtype)
+        return self._parts(words, ids, np.flatnonzero(self.opens[ids]), 0)
+
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space: one text, a word a line."""
         ids = np.frombuffer(self._whole(["\n".join(words)])[0], self.dtype)
-        at = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
-        if len(at) != len(words) + 1:
+        return self._parts(words, ids, np.concatenate(([-1], np.flatnonzero(ids == self.line_break))) + 1, 1)
+
+    def _parts(self, words: list[str], ids: np.ndarray, starts: np.ndarray, gap: int) -> list[bytes]:
+        if len(starts) != len(words):
             return self._whole(words)
         data, width = ids.tobytes(), self.dtype.itemsize
-        return [data[(a + 1) * width : b * width] for a, b in zip(at, at[1:], strict=False)]
+        ends = np.append(starts[1:] - gap, len(ids)) * width
+        return [data[x:y] for x, y in zip((starts * width).tolist(), ends.tolist(), strict=True)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Fill `kept` for the pieces: plain words, those with a stop, lines around a break, else the library."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Fill `kept` for the pieces: plain words, those with a stop, lines around a break, else the library. What the
+        older generation holds is kept again."""
         kept, older, ends = self.kept, self.older, self.ends
-
-        def recalled(wanted: set[str]) -> set[str]:
-            """What is left of the pieces without those of the older generation, which is kept again."""
-            again = wanted & older.keys()
-            kept.update({p: older[p] for p in again})
-            return wanted - again
-
-        pieces = recalled(pieces)
-        plain = {p for p in pieces if p.isalpha() or p[0] == " " and p[1:].isalpha()}
-        stopped = {p for p in pieces if p[-1] in ".," and (p[1:-1] if p[0] == " " else p[:-1]).isalpha()}
-        plain |= recalled({p[:-1] for p in stopped} - kept.keys())
+        plain: list[str] = []
+        stopped: list[str] = []
+        others: list[str] = []
+        for piece in pieces:
+            bare = piece[1:] if piece[0] == " " else piece
+            if piece in older:
+                kept[piece] = older[piece]
+            elif bare.isalpha():
+                plain.append(piece)
+            elif piece[-1] in ".," and bare[:-1].isalpha():
+                stopped.append(piece)
+            else:
+                others.append(piece)
         joined: list[tuple[str, list[str]]] = []
         asked: set[str] = set()
 
@@ -256,7 +277,9 @@ class PieceEncoder:
                 else:
                     asked.add(piece)
 
-        for piece in pieces - plain - stopped:
+        for piece in stopped:
+            need(piece[:-1])
+        for piece in others:
             parts = piece.split("\n")
             if len(parts) > 1 and not all(p and not p[0].isspace() | p[-1].isspace() for p in (parts[0][1:] or parts[0].strip(), *parts[1:])):
                 asked.add(piece)
@@ -273,13 +296,16 @@ class PieceEncoder:
                     made.append(part)
             if len(made) > 1:
                 joined.append((piece, made))
-        asked -= plain
-        words = [p for p in asked if p[:1] == " " and len(p) > 1 and len(p.split()) == 1 and p[1:] == p.split()[0]]
-        rest = list(asked.difference(words))
-        words += plain
-        kept.update(zip(words, self._words(words) if words else [], strict=True))
+        asked.difference_update(plain)
+        spaced, lines, rest = [], [], []
+        for piece in plain:
+            (spaced if piece[0] == " " else lines).append(piece)
+        for piece in asked:
+            alone = piece[:1] == " " and len(piece) > 1 and piece[1:].split() == [piece[1:]]
+            (spaced if alone else lines if piece.isalpha() else rest).append(piece)
+        for mine, ids_of in ((spaced, self._spaced), (lines, self._lines), (rest, self._whole)):
+            kept.update(zip(mine, ids_of(mine) if mine else [], strict=True))
         kept.update({p: kept[p[:-1]] + ends[p[-1]] for p in stopped})
-        kept.update(zip(rest, self._whole(rest), strict=True))
         for piece, made in joined:
             kept[piece] = b"".join(ends[x] if x in ends else kept[x] for x in made)
 
@@ -306,12 +332,12 @@ class PieceEncoder:
         pieces = lists.flatten().dictionary_encode()
         kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()  # ten times as fast as to_pylist()
         known = list(map(kept.get, kinds))
-        missing = {p for p, x in zip(kinds, known, strict=True) if x is None}
+        missing = [p for p, x in zip(kinds, known, strict=True) if x is None]
         if missing:
+            self._learn([p for p in missing if len(p) <= self.KEEP_CHARS])
             long = [p for p in missing if len(p) > self.KEEP_CHARS]
-            self._learn(missing.difference(long))
             passing = dict(zip(long, self._whole(long), strict=True)) if long else {}
-            known = [(passing[p] if p in passing else kept[p]) if x is None else x for p, x in zip(kinds, known, strict=True)]
+            known = [passing[p] if p in passing else kept[p] for p in kinds] if passing else list(map(kept.__getitem__, kinds))
         n = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         first = np.cumsum(n) - n
         at = pieces.indices.to_numpy()
