@@ -60,3 +60,14 @@ def test_lines_take_every_event(spark, duck):
     got = [tuple(r) for r in whole.select("id", "seq", "x1", "y1", "x2", "y2").collect()]
     assert set(got) == want and len(got) == len(want) and max(len(es) for es in events.values()) > 12
     assert "collect_list" not in whole._jdf.queryExecution().toString()
+
+
+def test_every_cached_page_is_reused(spark, tmp_path):
+    """A page is cached by its line whatever the part: no part of the cached side is left out."""
+    con = duckdb.connect()
+    con.sql("create table orders as select (i * 100)::BIGINT as o_orderkey from range(6) t(i)")
+    con.sql("create table lineitem as select (i * 100 + 7)::BIGINT as l_orderkey, case when i = 3 then 6 else 7 end as l_linenumber, case when i = 2 then 'N' else 'R' end as l_returnflag, (i * 5 + 11)::BIGINT as l_partkey from range(5) t(i)")
+    for t in ("orders", "lineitem"):
+        con.sql(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = sorted(r.page for r in catalogue.QUERIES["cache_reuse_antijoin"](spark, str(tmp_path)).collect())
+    assert got == [2, 3, 5] == sorted(r[0] for r in con.sql(catalogue.ORACLE_SQL["cache_reuse_antijoin"]).fetchall())
