@@ -38,19 +38,79 @@ def leaves(documents: DataFrame, keys: list[str], column: str = "document") -> D
     raise ValueError(f"documents are nested deeper than {MOST_DEPTH}")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+_NODES = "array<struct<path:string,in_a:boolean,in_b:boolean,a:variant,b:variant>>"
+_FOUND = "array<struct<path:string,problem:string>>"
+
+
+def _opened(v: Column) -> Column:
+    """kind, size, and the entries of an array or an object; a text that is no JSON has no variant."""
+    items, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+
+    def told(x: Column) -> Column:
+        shape = F.coalesce(F.schema_of_variant(v), F.lit("BROKEN"))
+        bare = F.when(shape == "STRING", "text").when(shape == "VOID", "null").when(shape == "BROKEN", "broken").otherwise("number")
+        kind = F.when(x["items"].isNotNull(), "array").when(x["fields"].isNotNull(), "object").otherwise(bare)
+        size = F.coalesce(F.when(x["items"].isNotNull(), F.size(x["items"])), F.when(x["fields"].isNotNull(), F.size(x["fields"])))
+        return F.struct(kind.alias("kind"), size.alias("size"), x["items"].alias("items"), x["fields"].alias("fields"))
+
+    return _once(F.struct(items.alias("items"), fields.alias("fields")), told)
+
+
+def _unlike(pairs: Column) -> Column:
+    """Pairs without those whose values write alike, which are equal to the bottom: keys of objects are sorted."""
+    return F.filter(pairs, lambda n: ~(n["in_a"] & n["in_b"] & F.to_json(n["a"]).eqNullSafe(F.to_json(n["b"]))))
+
+
+def _compared(n: Column, tolerance: float) -> Column:
+    """problem of a pair of values, and the pairs of what they hold: by place in arrays, by key in objects, the rest one-sided."""
+    none, no_fields = F.array().cast("array<variant>"), F.create_map().cast("map<string,variant>")
+
+    def told(o: Column) -> Column:
+        a, b = o["a"], o["b"]
+        number = lambda v: F.try_variant_get(v, "$", "double")
+        text = lambda v: F.try_variant_get(v, "$", "string")
+        close = _once(F.struct(number(n["a"]).alias("x"), number(n["b"]).alias("y")), lambda p: (F.abs(p["x"] - p["y"]) <= tolerance) | (p["x"] == p["y"]))
+        problem = (F.when(~n["in_b"], "missing").when(~n["in_a"], "unexpected").when(a["kind"] != b["kind"], "kind").when(~a["size"].eqNullSafe(b["size"]), "size")
+            .when(a["kind"] == "number", F.when(~close, "number")).when((a["kind"] == "text") & ~text(n["a"]).eqNullSafe(text(n["b"])), "text"))
+        pair = lambda path, x, y: F.struct(path.alias("path"), x.isNotNull().alias("in_a"), y.isNotNull().alias("in_b"), x.alias("a"), y.alias("b"))
+        places = F.zip_with(F.coalesce(a["items"], none), F.coalesce(b["items"], none), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        held = F.transform(places, lambda e, i: pair(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), e["x"], e["y"]))
+        both = F.map_zip_with(F.coalesce(a["fields"], no_fields), F.coalesce(b["fields"], no_fields), lambda k, x, y: F.struct(x.alias("x"), y.alias("y")))
+        named = F.transform(F.map_entries(both), lambda e: pair(F.concat(n["path"], F.lit("."), e["key"]), e["value"]["x"], e["value"]["y"]))
+        array, object_ = ((a[c].isNotNull() | b[c].isNotNull()) for c in ("items", "fields"))
+        inner = F.when(array & object_, F.concat(held, named)).when(array, held).when(object_, named).otherwise(F.array().cast(_NODES))
+        return F.struct(n["path"].alias("path"), problem.alias("problem"), _unlike(inner).alias("inner"))
+
+    return _once(F.struct(_opened(n["a"]).alias("a"), _opened(n["b"]).alias("b")), told)
+
+
 def differences(left: DataFrame, right: DataFrame, keys: list[str], column: str = "document", tolerance: float = 1e-6) -> DataFrame:
     """keys, path, problem where two tables of documents differ: missing, unexpected, kind, size, number or text.
 
-    Numbers may differ by the tolerance, at any depth; keys of objects and lengths of arrays must be equal."""
-    sides = [leaves(side, keys, column).withColumn("there", F.lit(True)) for side in (left, right)]
-    a, b = (side.select(*keys, "path", F.struct("there", "kind", "size", "number", "text").alias(name)) for side, name in zip(sides, "ab", strict=True))
-    both = a.join(b, [*keys, "path"], "full_outer")
-    one = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
-    (x, y), (n, m) = one("number"), one("size")
-    close = (F.abs(x - y) <= tolerance) | (x == y)
-    problem = (F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a.kind") != F.col("b.kind"), "kind")
-        .when(~n.eqNullSafe(m), "size").when((F.col("a.kind") == "number") & ~close, "number").when(~F.col("a.text").eqNullSafe(F.col("b.text")), "text"))
-    return both.select(*keys, "path", problem.alias("problem")).filter("problem is not null")
+    Numbers may differ by the tolerance, at any depth; keys of objects and lengths of arrays must be equal. Documents are
+    joined by their keys whole, and a pair is compared level by level within its row; equal texts need no look."""
+    a, b = (side.select(*keys, F.struct(F.col(column).alias("document")).alias(name)) for side, name in ((left, "a"), (right, "b")))
+    both = a.join(b, keys, "full_outer").filter("a is null or b is null or not (a.document <=> b.document)")
+    one = lambda c: F.try_parse_json(F.col(f"{c}.document"))
+    root = F.array(F.struct(F.lit("$").alias("path"), F.col("a").isNotNull().alias("in_a"), F.col("b").isNotNull().alias("in_b"), one("a").alias("a"), one("b").alias("b")))
+    # brackets bound the depth of a text
+    brackets = lambda c: F.length(F.regexp_replace(F.coalesce(F.col(f"{c}.document").cast("string"), F.lit("")), r"[^\[{]+", ""))
+    levels = F.sequence(F.lit(0), F.least(F.greatest(brackets("a"), brackets("b")), F.lit(MOST_DEPTH - 1)))
+
+    def level(acc: Column, _: Column) -> Column:
+        done = lambda x: F.struct(F.flatten(F.transform(x, lambda n: n["inner"])).alias("nodes"),
+            F.concat(acc["found"], F.transform(F.filter(x, lambda n: n["problem"].isNotNull()), lambda n: F.struct(n["path"].alias("path"), n["problem"].alias("problem")))).alias("found"))
+        return F.when(F.size(acc["nodes"]) == 0, acc).otherwise(_once(F.transform(acc["nodes"], lambda n: _compared(n, tolerance)), done))
+
+    walked = F.aggregate(levels, F.struct(_unlike(root.cast(_NODES)).alias("nodes"), F.array().cast(_FOUND).alias("found")), level)
+    deep = lambda x: F.when(F.size(x["nodes"]) > 0, F.raise_error(F.lit(f"documents are nested deeper than {MOST_DEPTH}")).cast(_FOUND)).otherwise(x["found"])
+    # an inner explode would have its filter walk each pair again
+    return both.select(*keys, F.explode_outer(_once(walked, deep)).alias("p")).select(*keys, "p.path", "p.problem").filter("problem is not null")
 
 
 def first_documents(rows: DataFrame, key: str = "id", tolerance: float = 1e-6) -> DataFrame:
