@@ -18,10 +18,13 @@ def require_none(violations: DataFrame, what: str, shown: int = 5) -> None:
 
 
 def missing_and_unexpected(expected: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """key, problem of keys on one side only."""
-    lost = expected.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("missing"))
-    extra = seen.select(key).distinct().join(expected.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("unexpected"))
-    return lost.unionByName(extra)
+    """key, problem of keys on one side only; a null key is on no other side.
+
+    One grouping of both sides: neither is made unique, sorted or joined by itself."""
+    sides = expected.select(key, F.lit(1).alias("side")).unionByName(seen.select(key, F.lit(2).alias("side")))
+    found = sides.groupBy(key).agg(F.bit_or("side").alias("sides")).filter(F.col(key).isNull() | (F.col("sides") != 3))
+    problems = F.when(F.col("sides") == 1, F.array(F.lit("missing"))).when(F.col("sides") == 2, F.array(F.lit("unexpected"))).otherwise(F.array(F.lit("missing"), F.lit("unexpected")))
+    return found.select(key, F.explode(problems).alias("problem"))
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from gridwright.operators import checks
 from gridwright.plans import bindings, catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -71,3 +72,12 @@ def test_every_cached_page_is_reused(spark, tmp_path):
         con.sql(f"copy {t} to '{tmp_path}/{t}.parquet'")
     got = sorted(r.page for r in catalogue.QUERIES["cache_reuse_antijoin"](spark, str(tmp_path)).collect())
     assert got == [2, 3, 5] == sorted(r[0] for r in con.sql(catalogue.ORACLE_SQL["cache_reuse_antijoin"]).fetchall())
+
+
+def test_ids_of_both_sides_are_grouped_once(spark):
+    """Repeated and null ids; no task holds a side made unique beside another side's."""
+    expected, seen = (spark.createDataFrame([(x,) for x in ids], "id long") for ids in ([1, 2, 2, 3, None], [2, 3, 3, 4, 4, None]))
+    found = checks.missing_and_unexpected(expected, seen, "id")
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, "missing"), (4, "unexpected"), (None, "missing"), (None, "unexpected")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
