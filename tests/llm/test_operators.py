@@ -659,3 +659,16 @@ def test_templates_of_one_leaf(spark):
         kept.append("\n".join([*own, rows[-1][1].split("\n")[-1]]))
     out = {r.doc_id: r.text for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [out[i] for i in range(24)] == kept
+
+
+def test_all_templates_of_a_leaf(spark):
+    """A leaf of six templates: with rounds=None all of them recur, the later ones as well; only later places are compared."""
+    rows = []
+    for i in range(24):
+        lines = []
+        for k in range(6):
+            lines += [words(f"q{i}{k}", 8), f"see also the {words(i * 6 + k, 1)} {words(f'z{k}', 5)}"]
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = lambda n: {r.n_dropped for r in line_templates.drop_recurring(docs, line_templates.TreeSettings(rounds=n)).collect()}
+    assert dropped(3) == {3} and dropped(None) == {6}
