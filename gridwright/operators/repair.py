@@ -44,7 +44,9 @@ def _cut_once(edges: DataFrame, size: float, precision: float) -> tuple[DataFram
     b = bucketed(numbered, size)
     one = b.select("id", "bx", "by", F.col("edge").alias("ea"), *(F.col(c).alias(f"a{c}") for c in ENDS))
     other = b.select("id", "bx", "by", F.col("edge").alias("eb"), *(F.col(c).alias(f"b{c}") for c in ENDS))
-    pairs = one.join(other, ["id", "bx", "by"]).filter("ea < eb").drop("bx", "by").distinct()
+    # edges that share buckets make a pair in the lowest of them alone, so that no pairs are shuffled to be made distinct
+    low = lambda k: F.greatest(*(F.floor(F.least(f"{p}{k}1", f"{p}{k}2") / size).cast("int") for p in "ab"))
+    pairs = one.join(other, ["id", "bx", "by"]).filter((F.col("ea") < F.col("eb")) & (F.col("bx") == low("x")) & (F.col("by") == low("y"))).drop("bx", "by")
     a, c = ([F.col(f"{p}{k}") for k in ENDS] for p in "ab")
 
     def off(seg: list[Column], x: Column, y: Column) -> Column:

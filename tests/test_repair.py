@@ -97,3 +97,12 @@ def test_large_coordinates_and_errors(spark):
         repair.repaired(segments(spark, {"flat": SHAPES["flat"]}), 4.0)
     none = segments(spark, far).limit(0)
     assert repair.repaired(none, 4.0).count() == 0
+
+
+def test_candidate_pairs_are_made_once(spark, monkeypatch):
+    """Long edges share many buckets and are a pair in one of them, without a grouping of pairs."""
+    plans, kept = [], repair._kept
+    monkeypatch.setattr(repair, "_kept", lambda df, label: (label == "cuts" and plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, label))[1])
+    edges = spark.createDataFrame([(1, -9.0, -9.0, 9.0, 9.0), (1, -9.0, 9.0, 9.0, -9.0)], "id int, x1 double, y1 double, x2 double, y2 double")
+    cut, n = repair._cut_once(edges, 2.0, 1e-6)
+    assert n == 2 and cut.count() == 4 and plans[0].count("Aggregate") == 1
